@@ -74,9 +74,10 @@ def number_rows(
 ) -> tuple[DataFrame, int]:
     """Add ``bar_no`` and ``n_bars`` per key in ``ts`` order.
 
-    Timestamps must be unique per key.  Keys longer than ``block`` are numbered
-    in time slices of ``block`` steps: rows in front of a slice come from the
-    slice counts, so no task sorts more than one slice.
+    ``ts`` is a timestamp or an integer sequence (``step_seconds`` is then its
+    step), unique per key.  Keys longer than ``block`` are numbered in slices of
+    ``block`` steps: rows in front of a slice come from the slice counts, so no
+    task sorts more than one slice.
     """
     keys = tuple(keys)
     longest = longest_series(df, keys) if longest is None else longest
@@ -88,7 +89,8 @@ def number_rows(
         }), longest
 
     step = F.lit(step_seconds) if isinstance(step_seconds, int) else step_seconds
-    epoch = F.col(ts).cast("timestamp").cast("long")
+    is_time = df.schema[ts].dataType.typeName().startswith("timestamp")
+    epoch = F.col(ts).cast("timestamp").cast("long") if is_time else F.col(ts).cast("long")
     sliced = df.withColumn("_slice", F.floor(epoch / (step * block)).cast("long"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
