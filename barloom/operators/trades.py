@@ -277,9 +277,11 @@ def book(trades: DataFrame, signals: Series, costs: Costs = Costs(), account: Ac
         (F.col("cash_before") + F.col("qty") * (got - paid)).alias("cash_after"))
 
 
-def equity(trades: DataFrame, signals: Series, account: Account = Account()) -> Series:
+def equity(trades: DataFrame, signals: Series, account: Account = Account(), carry: tuple[str, ...] = ()) -> Series:
     """One row per bar: equity, ret, and the pnl / trade_return of a trade booked there.
 
+    ``carry`` names further columns of the signals to keep.
+
     A bar takes the entry booked on it or, if a trade ends on it, the exit.
     """
     home = F.floor(F.col("bar_no") / signals.block).cast("long")
@@ -291,7 +293,7 @@ def equity(trades: DataFrame, signals: Series, account: Account = Account()) ->
         F.col("pnl"), F.col("return").alias("trade_return"))
     events = (trades.select(*signals.keys, F.explode(F.array(left, entered)).alias("_e")).filter("_e IS NOT NULL")
               .select(*signals.keys, "_e.*").withColumn("blk", home))
-    bars = signals.using(signals.select("blk", "sub", "core", "bar_no", "n_bars", "ts", "close"))
+    bars = signals.using(signals.select("blk", "sub", "core", "bar_no", "n_bars", "ts", "close", *carry))
     joined = bars.using(bars.df.join(events, [*signals.group, "bar_no"], "left"))
     s = layout.running(joined, {"cash": ("last", F.col("cash")), "held": ("last", F.col("held"))})
     value = F.coalesce(F.col("cash"), F.lit(account.initial_cash)) + F.coalesce(F.col("held"), F.lit(0.0)) * F.col("close")
@@ -302,7 +304,8 @@ def equity(trades: DataFrame, signals: Series, account: Account = Account()) ->
     return s.using(s.df.drop("_before", "cash", "held"))
 
 
-def backtest(signals: Series, costs: Costs = Costs(), account: Account = Account()) -> tuple[DataFrame, Series]:
+def backtest(signals: Series, costs: Costs = Costs(), account: Account = Account(),
+             carry: tuple[str, ...] = ()) -> tuple[DataFrame, Series]:
     """(blotter, equity series) of every run."""
     blotter = book(walk_runs(signals, costs, account), signals, costs, account)
-    return blotter, equity(blotter, signals, account)
+    return blotter, equity(blotter, signals, account, carry)

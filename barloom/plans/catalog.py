@@ -11,6 +11,7 @@ from barloom.functions import scalars, venue
 from barloom.operators import indicators as ind
 from barloom.operators import layout, metrics, quality, signals, trades
 from barloom.operators.layout import Series
+from barloom.plans import resample, segments, sweep, validation
 from barloom.schemas import PRICE_COLUMNS
 from barloom.session import tune
 from barloom.sources import bars as bar_io
@@ -228,7 +229,7 @@ def returns(spark, sf_dir):
 @query
 def moving_averages(spark, sf_dir):
     s = ind.volume_filter(ind.sma(ind.ema(ind.ema(walk_series(spark, sf_dir), 50, out="ema50"), 20, out="ema20"), 20))
-    return s.core_rows().df.select("symbol", "ts", *rounded(8, ema50="ema50", ema20="ema20", sma="sma"), "vol_ok")
+    return s.core_rows().df.select("symbol", "ts", *rounded(ema50="ema50", ema20="ema20"), *rounded(8, sma="sma"), "vol_ok")
 
 
 @query
@@ -346,3 +347,137 @@ def metrics_printed(spark, sf_dir):
     m = metrics.summarize(trades.backtest(signals_of(spark, sf_dir, "momentum_breakout"))[1], by=["symbol"])
     return metrics.metrics_table(m, ["symbol"]).filter(F.col("metric").isin("# Trades", "Win Rate", "Max Drawdown")).select(
         "symbol", F.col("line").cast("long").alias("line"), "metric", "value")
+
+
+# --- validation, resampling, sweeps --------------------------------------------------
+
+@query
+def in_out_split(spark, sf_dir):
+    numbered, _ = layout.number_rows(fx.walk_bars(spark, sf_dir), ("symbol",))
+    return segments.in_out_of_sample(numbered, 0.7, 25).select("symbol", "segment", "ts", "bar_no", "n_bars")
+
+
+@query
+def walk_forward_windows(spark, sf_dir):
+    numbered, _ = layout.number_rows(fx.walk_bars(spark, sf_dir), ("symbol",))
+    return segments.walk_forward_windows(numbered).groupBy("symbol", F.col("segment").cast("long").alias("segment")).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_rows"),
+        F.max("test_size").alias("test_size"))
+
+
+def _split_metrics(spark, sf_dir):
+    _, curve = validation.run_split(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout")
+    return metrics.summarize(curve)
+
+
+@query
+def split_metrics(spark, sf_dir):
+    return _split_metrics(spark, sf_dir).select("symbol", "segment", *rounded_metrics())
+
+
+@query
+def acceptance_gates(spark, sf_dir):
+    loose = validation.Criteria(min_sharpe=0.2, min_profit_factor=1.0, min_trades=2, max_drawdown=0.05)
+    wide = validation.side_by_side(_split_metrics(spark, sf_dir), ["symbol"])
+    report = validation.gates(wide, ["symbol"], loose)
+    check = lambda n: F.try_element_at("checks", F.lit(n)).alias(n)
+    return report.select("symbol", "passed", F.size("reasons").cast("long").alias("n_reasons"), check("oos_positive"),
+                         check("sharpe"), check("profit_factor"), check("max_drawdown"), check("min_trades"),
+                         check("is_oos_consistency"))
+
+
+@query
+def trade_bootstrap(spark, sf_dir):
+    s = signals_of(spark, sf_dir, "momentum_breakout")
+    blotter = trades.book(trades.walk_runs(s), s)
+    out = resample.trade_bootstrap(fx.walk_bars(spark, sf_dir).select("symbol").distinct(), blotter, ["symbol"], "entry_no")
+    return out.select("symbol", "n_sims", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("symbol", "n_sims")])
+
+
+@query
+def block_bootstrap(spark, sf_dir):
+    s = walk_series(spark, sf_dir)
+    s = ind.returns(s).with_columns({"ret": F.col("simple_ret")})
+    return resample.block_bootstrap(s, n_sims=200).select("symbol", "sim", F.round("terminal", 6).alias("terminal"))
+
+
+SWEEP_TRIALS = 4
+
+
+def _trials(spark, sf_dir):
+    sets = sweep.draw_parameters("momentum_breakout", SWEEP_TRIALS)
+    return sweep.trials(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout", sets,
+                        sweep.Objective(min_trades=3))
+
+
+@query
+def sweep_trials(spark, sf_dir):
+    names = [f"{s}_{m}" for s in ("is", "oos") for m in ("sharpe", "cagr", "max_drawdown", "n_trades")]
+    return _trials(spark, sf_dir).select("symbol", F.col("param_id").cast("long").alias("param_id"),
+                                         *[F.round(n, 6).alias(n) for n in names],
+                                         F.round(F.nullif("score", F.lit(float("-inf"))), 6).alias("score"))
+
+
+@query
+def sweep_best(spark, sf_dir):
+    return sweep.best_trial(_trials(spark, sf_dir), ["symbol"]).select(
+        "symbol", F.col("param_id").cast("long").alias("param_id"), F.round("score", 6).alias("score"), "n_trials")
+
+
+def _sensitivity(spark, sf_dir):
+    return sweep.sensitivity(lambda halo: walk_series(spark, sf_dir, halo), "momentum_breakout")
+
+
+@query
+def sensitivity_table(spark, sf_dir):
+    return _sensitivity(spark, sf_dir).select("symbol", "param", *rounded(value="value"), *rounded_metrics())
+
+
+@query
+def sensitivity_robustness(spark, sf_dir):
+    return sweep.robustness(_sensitivity(spark, sf_dir), ["symbol"]).select("symbol", *rounded(robustness="robustness"))
+
+
+def _walk_forward(spark, sf_dir, sets=None):
+    return validation.walk_forward(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout", sets)
+
+
+@query
+def walk_forward_equity(spark, sf_dir):
+    _, _, stitched = _walk_forward(spark, sf_dir)
+    return stitched.df.select("symbol", "ts", *rounded(4, equity="equity"))
+
+
+@query
+def walk_forward_metrics(spark, sf_dir):
+    _, _, stitched = _walk_forward(spark, sf_dir)
+    return metrics.summarize(stitched).select("symbol", *rounded_metrics())
+
+
+@query
+def walk_forward_fitted(spark, sf_dir):
+    """Each window trades the set that did best on its own train rows."""
+    windows, _, _ = _walk_forward(spark, sf_dir, [{"channel": 20}, {"channel": 30}])
+    return windows.select("symbol", F.col("segment").cast("long").alias("segment"),
+                          F.col("param_id").cast("long").alias("param_id"), *rounded_metrics())
+
+
+@query
+def portfolio_equity(spark, sf_dir):
+    _, curve = validation.run_split(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout")
+    return validation.portfolio(curve).df.select("segment", "ts", *rounded(4, equity="equity"))
+
+
+@query
+def portfolio_metrics(spark, sf_dir):
+    blotter, curve = validation.run_split(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout")
+    return validation.portfolio_metrics(curve, blotter).select("segment", *rounded_metrics())
+
+
+@query
+def strategy_leaderboard(spark, sf_dir):
+    names = ["momentum_breakout", "mean_reversion", "breakout_rr"]
+    board = validation.leaderboard(lambda halo: walk_series(spark, sf_dir, halo), names, ("symbol",))
+    return board.groupBy("strategy").agg(
+        F.round(F.avg("sharpe"), 6).alias("mean_sharpe"), F.round(F.avg("total_return"), 6).alias("mean_return"),
+        F.round(F.min("max_drawdown"), 6).alias("worst_drawdown"), F.sum("n_trades").alias("n_trades"))

@@ -240,3 +240,56 @@ ROUNDED = ", ".join([f"round({m}, 6) AS {m}" for m in (
 def metrics(strategy: str, bars: str = WALK_BARS_SQL) -> str:
     return f"""WITH RECURSIVE {signals_cte(strategy, bars)}, {trades_cte()}, {EQ},
       mt AS ({metrics_of('eq')}) SELECT symbol, {ROUNDED} FROM mt"""
+
+
+def split_bars(fraction: float = 0.7, warm: int = 0) -> str:
+    """Walk bars per segment; the key is 'symbol|segment'."""
+    return f"""
+  SELECT concat(symbol, '|', seg) AS symbol, ts, open, high, low, close, volume
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i0,
+               cast(floor(count(*) OVER (PARTITION BY symbol) * cast({fraction} AS double)) AS bigint) AS cut FROM ({WALK_BARS_SQL})),
+       (VALUES ('is'), ('oos')) g(seg)
+  WHERE CASE WHEN seg = 'is' THEN i0 < cut ELSE i0 >= cut - {warm} END"""
+
+
+def window_bars(k: int = 5, train_fraction: float = 0.6, warm: int = 250, train: bool = False) -> str:
+    """Walk bars per walk-forward window; the key is 'symbol|window'; size is the test size."""
+    inside = "i0 < first_" if train else f"i0 >= greatest(first_ - {warm}, 0) AND i0 < first_ + size"
+    return f"""
+  SELECT concat(symbol, '|', w) AS symbol, ts, open, high, low, close, volume, size
+  FROM (SELECT *, n0 - size * {k} + w * size AS first_
+        FROM (SELECT *, CASE WHEN sized < 1 THEN greatest(1, n0 // ({k} + 2)) ELSE sized END AS size
+              FROM (SELECT *, cast(floor(n0 * (1 - cast({train_fraction} AS double)) / {k}) AS bigint) AS sized
+                    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i0,
+                                 count(*) OVER (PARTITION BY symbol) AS n0 FROM ({WALK_BARS_SQL})))),
+             range({k}) g(w))
+  WHERE n0 >= {k} * 4 AND first_ >= 50 AND first_ + size - greatest(first_ - {warm}, 0) >= 5 AND {inside}"""
+
+
+def with_sets(bars: str, sets: list[dict]) -> str:
+    """Bars repeated per momentum parameter set; the key is 'key#set'."""
+    rows = ", ".join(
+        f"({i}, {p.get('channel', 20)}, {p.get('exit_channel', 10)}, {p.get('atr_period', 14)}, "
+        f"cast({p.get('atr_mult', 3.0)!r} AS double), cast({p.get('vol_mult', 1.2)!r} AS double))" for i, p in enumerate(sets))
+    return f"""SELECT concat(symbol, '#', pid) AS symbol, * EXCLUDE (symbol)
+      FROM ({bars}), (VALUES {rows}) p(pid, ch, xc, ap, am, vm)"""
+
+
+def momentum_sets_cte(bars: str, sets: list[dict]) -> str:
+    top = " ".join(f"WHEN {n} THEN {frame('max', 'high', n, 1)}" for n in sorted({p.get('channel', 20) for p in sets}))
+    low = " ".join(f"WHEN {n} THEN {frame('min', 'low', n, 1)}" for n in sorted({p.get('exit_channel', 10) for p in sets}))
+    return f"""{smoothed({'atr_': ('b.tr', '1.0 / b.ap')}, bars=with_sets(bars, sets))},
+      sg AS MATERIALIZED (SELECT b.symbol, b.i, b.n, b.ts, b.open, b.high, b.low, b.close,
+        coalesce(b.close > CASE b.ch {top} END AND b.volume > b.vm * {frame('avg', 'volume', 20)}, false) AS entry,
+        coalesce(b.close < CASE b.xc {low} END, false) AS exit,
+        b.close - b.am * CASE WHEN b.i >= b.ap - 1 THEN s.atr_ END AS stop, cast(NULL AS double) AS tp, true AS trail
+        FROM nb b JOIN sm s ON s.symbol = b.symbol AND s.i = b.i)"""
+
+
+def draw_columns(relation: str, seed: int, sim: str, draw: str, size: str) -> str:
+    """The relation with the drawn index ``pick`` added, by nested selects."""
+    return f"""SELECT * EXCLUDE (x1, x2, x3), cast(((x3 * x3 + 777) % 2147483647) % ({size}) AS bigint) AS pick
+      FROM (SELECT *, (x2 * 48271 + x1) % 2147483647 AS x3
+        FROM (SELECT *, (x1 * x1 + 12345) % 2147483647 AS x2
+          FROM (SELECT *, cast({seed * 97} + cast({sim} AS bigint) * 2654435761 + cast({draw} AS bigint) * 40503 AS bigint) % 2147483647 AS x1
+                FROM ({relation}))))"""

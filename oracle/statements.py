@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from barloom.sources.fixtures import (
     EQUITY_SNAPSHOTS_SQL, EVENT_BARS_SQL, FAULTY_BARS_SQL, LEDGER_FILLS_SQL, WALK_BARS_SQL)
+from barloom.plans import sweep
 from oracle import sql
 
 W = WALK_BARS_SQL
@@ -125,7 +126,7 @@ NB = f"WITH b AS MATERIALIZED ({sql.numbered()})"
 ORACLE["returns"] = f"""{NB} SELECT symbol, ts, round(lr, 8) AS log_ret, round(close / pclose - 1, 8) AS simple_ret,
   round(chg, 8) AS diff FROM b"""
 ORACLE["moving_averages"] = f"""WITH RECURSIVE {sql.smoothed({'e50': ('b.close', sql.ema('50')), 'e20': ('b.close', sql.ema('20'))})}
-  SELECT b.symbol, b.ts, round(CASE WHEN b.i >= 49 THEN e50 END, 8) AS ema50, round(CASE WHEN b.i >= 19 THEN e20 END, 8) AS ema20,
+  SELECT b.symbol, b.ts, round(CASE WHEN b.i >= 49 THEN e50 END, 6) AS ema50, round(CASE WHEN b.i >= 19 THEN e20 END, 6) AS ema20,
          round({sql.frame('avg', 'close', 20)}, 8) AS sma,
          coalesce(b.volume > 1.2 * {sql.frame('avg', 'volume', 20)}, false) AS vol_ok
   FROM nb b JOIN sm s ON s.symbol = b.symbol AND s.i = b.i"""
@@ -163,3 +164,125 @@ ORACLE["metrics_printed"] = f"""WITH RECURSIVE {sql.signals_cte('momentum_breako
   SELECT symbol, 5 AS line, 'Max Drawdown' AS metric, printf('%.2f%%', max_drawdown * 100) AS value FROM mt
   UNION ALL SELECT symbol, 7, 'Win Rate', printf('%.2f%%', win_rate * 100) FROM mt
   UNION ALL SELECT symbol, 11, '# Trades', cast(n_trades AS varchar) FROM mt"""
+
+# --- validation, resampling, sweeps ---------------------------------------------
+KEY = "split_part(symbol, '|', 1) AS symbol, split_part(symbol, '|', 2) AS segment"
+ORACLE["in_out_split"] = f"""SELECT {KEY}, ts, row_number() OVER w - 1 AS bar_no, count(*) OVER (PARTITION BY symbol) AS n_bars
+  FROM ({sql.split_bars(0.7, 25)}) WINDOW w AS (PARTITION BY symbol ORDER BY ts)"""
+WKEY = "split_part(symbol, '|', 1) AS symbol, cast(split_part(symbol, '|', 2) AS bigint) AS segment"
+ORACLE["walk_forward_windows"] = f"""SELECT {WKEY}, first_ts, last_ts, n_rows, test_size
+  FROM (SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows, max(size) AS test_size
+        FROM ({sql.window_bars()}) GROUP BY symbol)"""
+
+SPLIT = f"WITH RECURSIVE {sql.signals_cte('momentum_breakout', sql.split_bars())}, {sql.trades_cte()}, {sql.EQ}"
+ORACLE["split_metrics"] = f"""{SPLIT}, mt AS ({sql.metrics_of('eq')}) SELECT {KEY}, {sql.ROUNDED} FROM mt"""
+WIDE = ", ".join(f"max({m}) FILTER (seg = '{g}') AS {g}_{m}" for g in ("is", "oos") for m in (
+    "total_return", "sharpe", "cagr", "profit_factor", "max_drawdown", "n_trades"))
+ORACLE["acceptance_gates"] = f"""{SPLIT}, mt AS ({sql.metrics_of('eq')}),
+  wd AS (SELECT sy AS symbol, {WIDE} FROM (SELECT *, split_part(symbol, '|', 1) AS sy, split_part(symbol, '|', 2) AS seg FROM mt) GROUP BY 1),
+  ck AS (SELECT symbol, oos_total_return > 0 AS oos_positive, oos_sharpe >= 0.2 AS sharpe, oos_profit_factor >= 1.0 AS profit_factor,
+                abs(least(is_max_drawdown, oos_max_drawdown)) <= 0.05 AS max_drawdown, oos_n_trades >= 2 AS min_trades,
+                CASE WHEN is_sharpe > 0 THEN oos_sharpe / is_sharpe >= 0.5 END AS is_oos_consistency FROM wd)
+  SELECT *, oos_positive AND sharpe AND profit_factor AND max_drawdown AND min_trades AND coalesce(is_oos_consistency, true) AS passed,
+         cast((NOT oos_positive)::int + (NOT sharpe)::int + (NOT profit_factor)::int + (NOT max_drawdown)::int + (NOT min_trades)::int
+              + (NOT coalesce(is_oos_consistency, true))::int AS bigint) AS n_reasons FROM ck"""
+
+MOMENTUM = f"WITH RECURSIVE {sql.signals_cte('momentum_breakout')}, {sql.trades_cte()}, {sql.EQ}"
+_draws = "SELECT t.symbol, t.n, s.sim, d.j FROM cnt t, range(2000) s(sim), range(t.n) d(j)"
+ORACLE["trade_bootstrap"] = f"""{MOMENTUM},
+  tr AS MATERIALIZED (SELECT symbol, tret AS r, row_number() OVER (PARTITION BY symbol ORDER BY bar_no) - 1 AS t FROM eq WHERE tret IS NOT NULL),
+  cnt AS (SELECT symbol, count(*) AS n FROM tr GROUP BY 1 HAVING count(*) >= 3),
+  dr AS ({sql.draw_columns(_draws, 42, 'sim', 'j', 'n')}),
+  pa AS (SELECT dr.symbol, sim, j, exp(sum(ln(1 + r)) OVER (PARTITION BY dr.symbol, sim ORDER BY j)) AS g
+         FROM dr JOIN tr ON tr.symbol = dr.symbol AND tr.t = dr.pick),
+  pk AS (SELECT *, greatest(max(g) OVER (PARTITION BY symbol, sim ORDER BY j), 1.0) AS peak FROM pa),
+  sm2 AS (SELECT symbol, sim, arg_max(g, j) AS g, least(min(g / peak - 1), 0) AS dd FROM pk GROUP BY 1, 2),
+  st AS (SELECT symbol, count(*) AS n_sims, avg(g - 1) AS cagr_mean, quantile_cont(g - 1, 0.05) AS cagr_p05,
+                quantile_cont(g - 1, 0.95) AS cagr_p95, avg(dd) AS max_dd_mean, quantile_cont(dd, 0.05) AS max_dd_p95,
+                avg(CASE WHEN g * 10000.0 > 10000.0 THEN 1.0 ELSE 0.0 END) AS prob_profit, quantile_cont(g * 10000.0, 0.05) AS terminal_p05,
+                quantile_cont(g * 10000.0, 0.5) AS terminal_p50, quantile_cont(g * 10000.0, 0.95) AS terminal_p95
+         FROM sm2 GROUP BY 1)
+  SELECT b.symbol, coalesce(n_sims, 0) AS n_sims, round(coalesce(cagr_mean, 0), 6) AS cagr_mean, round(coalesce(cagr_p05, 0), 6) AS cagr_p05,
+    round(coalesce(cagr_p95, 0), 6) AS cagr_p95, round(coalesce(max_dd_mean, 0), 6) AS max_dd_mean,
+    round(coalesce(max_dd_p95, 0), 6) AS max_dd_p95, round(coalesce(prob_profit, 0), 6) AS prob_profit,
+    round(coalesce(terminal_p05, 10000), 6) AS terminal_p05, round(coalesce(terminal_p50, 10000), 6) AS terminal_p50,
+    round(coalesce(terminal_p95, 10000), 6) AS terminal_p95
+  FROM (SELECT DISTINCT symbol FROM sg) b LEFT JOIN st USING (symbol)"""
+
+_blocks = "SELECT c.symbol, c.n, s.sim, d.b FROM cnt c, range(200) s(sim), range(cast(ceil(c.n / 20.0) AS bigint)) d(b)"
+ORACLE["block_bootstrap"] = f"""WITH nb AS MATERIALIZED ({sql.numbered()}),
+  rt AS MATERIALIZED (SELECT symbol, i - 1 AS t, ln(close / pclose) AS lr FROM nb WHERE i >= 1),
+  cnt AS (SELECT symbol, count(*) AS n FROM rt GROUP BY 1 HAVING count(*) >= 40),
+  dr AS ({sql.draw_columns(_blocks, 42, 'sim', 'b', 'n - 20')}),
+  bars AS (SELECT symbol, sim, pick + o.k AS t FROM dr, range(20) o(k) WHERE b * 20 + o.k < n)
+  SELECT bars.symbol, sim, round(exp(sum(lr)), 6) AS terminal FROM bars JOIN rt ON rt.symbol = bars.symbol AND rt.t = bars.t GROUP BY 1, 2"""
+
+_SETS = sweep.draw_parameters("momentum_breakout", 4)
+_SWEEP = f"""WITH RECURSIVE {sql.momentum_sets_cte(sql.split_bars(0.7, 250), _SETS)}, {sql.trades_cte()}, {sql.EQ},
+  mt AS ({sql.metrics_of('eq')}),
+  wd AS (SELECT sy AS symbol, pid AS param_id, {WIDE}
+         FROM (SELECT *, split_part(symbol, '|', 1) AS sy, split_part(split_part(symbol, '|', 2), '#', 1) AS seg,
+                      cast(split_part(symbol, '#', 2) AS bigint) AS pid FROM mt) GROUP BY 1, 2),
+  sc AS (SELECT *, CASE WHEN is_n_trades >= 3 THEN is_sharpe + 0.5 * is_cagr - abs(is_max_drawdown) - 0.5 * abs(is_sharpe - oos_sharpe) END AS score FROM wd)"""
+ORACLE["sweep_trials"] = f"""{_SWEEP} SELECT symbol, param_id, round(is_sharpe, 6) AS is_sharpe, round(is_cagr, 6) AS is_cagr,
+  round(is_max_drawdown, 6) AS is_max_drawdown, is_n_trades, round(oos_sharpe, 6) AS oos_sharpe, round(oos_cagr, 6) AS oos_cagr,
+  round(oos_max_drawdown, 6) AS oos_max_drawdown, oos_n_trades, round(score, 6) AS score FROM sc"""
+ORACLE["sweep_best"] = f"""{_SWEEP} SELECT symbol, param_id, coalesce(round(score, 6), 0.0) AS score, n_trials FROM (
+    SELECT symbol, CASE WHEN score IS NOT NULL THEN param_id END AS param_id, score, count(*) OVER (PARTITION BY symbol) AS n_trials,
+           row_number() OVER (PARTITION BY symbol ORDER BY score DESC NULLS LAST, param_id) AS rn FROM sc) WHERE rn = 1"""
+
+_GRID = sweep.sensitivity_sets("momentum_breakout")
+_grid_rows = ", ".join(f"({i}, '{g[0]}', cast({float(g[1])!r} AS double))" for i, g in enumerate(_GRID))
+_SENS = f"""WITH RECURSIVE {sql.momentum_sets_cte(W, [g[2] for g in _GRID])}, {sql.trades_cte()}, {sql.EQ}, mt AS ({sql.metrics_of('eq')}),
+  tb AS (SELECT mt.* EXCLUDE (symbol), split_part(symbol, '#', 1) AS symbol, param, value
+         FROM mt JOIN (VALUES {_grid_rows}) g(pid, param, value) ON g.pid = cast(split_part(symbol, '#', 2) AS bigint))"""
+ORACLE["sensitivity_table"] = f"{_SENS} SELECT symbol, param, round(value, 6) AS value, {sql.ROUNDED} FROM tb"
+ORACLE["sensitivity_robustness"] = f"""{_SENS},
+  pp AS (SELECT symbol, param, avg(sharpe) AS m, stddev_pop(sharpe) AS s FROM tb GROUP BY 1, 2)
+  SELECT symbol, round(greatest(0, 1 - coalesce(avg(CASE WHEN abs(m) > 1e-9 THEN abs(s / m) END), 1)), 6) AS robustness FROM pp GROUP BY 1"""
+
+_WF = f"""WITH RECURSIVE {sql.signals_cte('momentum_breakout', sql.window_bars())}, {sql.trades_cte()}, {sql.EQ},
+  sz AS (SELECT symbol, max(size) AS size, max(n) AS n FROM nb GROUP BY 1),
+  te AS (SELECT split_part(symbol, '|', 1) AS sy, cast(split_part(symbol, '|', 2) AS bigint) AS w, bar_no, ts, equity
+         FROM eq JOIN sz USING (symbol) WHERE bar_no >= n - size),
+  en AS (SELECT sy, w, arg_min(equity, bar_no) AS f, arg_max(equity, bar_no) AS l FROM te GROUP BY 1, 2),
+  gr AS (SELECT *, exp(coalesce(sum(ln(l / f)) OVER (PARTITION BY sy ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS g FROM en),
+  wf AS (SELECT te.sy AS symbol, ts, round(equity / f * g * 10000.0, 8) AS equity FROM te JOIN gr ON te.sy = gr.sy AND te.w = gr.w),
+  we AS (SELECT *, row_number() OVER v AS bar_no, equity / lag(equity) OVER v - 1 AS ret, equity - lag(equity) OVER v AS pnl
+         FROM wf WINDOW v AS (PARTITION BY symbol ORDER BY ts))"""
+ORACLE["walk_forward_equity"] = f"{_WF} SELECT symbol, ts, round(equity, 4) AS equity FROM we"
+ORACLE["walk_forward_metrics"] = f"{_WF}, wm AS ({sql.metrics_of('we')}) SELECT symbol, {sql.ROUNDED} FROM wm"
+
+_FITSETS = [{"channel": 20}, {"channel": 30}]
+
+
+def _fit(cte: str, bars: str) -> str:
+    body = f"""WITH RECURSIVE {sql.momentum_sets_cte(bars, _FITSETS)}, {sql.trades_cte()}, {sql.EQ}, mt AS ({sql.metrics_of('eq')})
+      SELECT mt.* EXCLUDE (symbol), split_part(symbol, '|', 1) AS symbol,
+             cast(split_part(split_part(symbol, '|', 2), '#', 1) AS bigint) AS segment,
+             cast(split_part(symbol, '#', 2) AS bigint) AS param_id FROM mt"""
+    return f"{cte} AS ({body})"
+
+
+ORACLE["walk_forward_fitted"] = f"""WITH {_fit('tst', sql.window_bars())}, {_fit('trn', sql.window_bars(train=True))},
+  pk AS (SELECT symbol, segment, param_id FROM (SELECT *, row_number() OVER (PARTITION BY symbol, segment ORDER BY round(sharpe, 9) DESC, param_id) AS rn FROM trn) WHERE rn = 1)
+  SELECT symbol, segment, param_id, {sql.ROUNDED} FROM tst JOIN pk USING (symbol, segment, param_id)"""
+
+_PF = f"""{SPLIT},
+  sp AS (SELECT *, split_part(symbol, '|', 2) AS segment FROM eq),
+  mb AS (SELECT segment, count(DISTINCT symbol) AS m FROM sp GROUP BY 1),
+  pr AS (SELECT segment, ts, sum(coalesce(ret, 0)) / max(m) AS r FROM sp JOIN mb USING (segment) GROUP BY 1, 2),
+  pe AS (SELECT segment, ts, row_number() OVER v - 1 AS bar_no, 10000.0 * exp(sum(ln(1 + r)) OVER v) AS equity
+         FROM pr WINDOW v AS (PARTITION BY segment ORDER BY ts)),
+  pq AS (SELECT *, equity / lag(equity) OVER (PARTITION BY segment ORDER BY ts) - 1 AS ret, cast(NULL AS double) AS pnl FROM pe)"""
+ORACLE["portfolio_equity"] = f"{_PF} SELECT segment, ts, round(equity, 4) AS equity FROM pq"
+ORACLE["portfolio_metrics"] = f"""{_PF}, pm AS ({sql.metrics_of('pq', 'segment')}), ta AS ({sql.metrics_of('sp', 'segment')}),
+  mt AS (SELECT pm.segment, pm.cagr, pm.sharpe, pm.sortino, pm.calmar, pm.max_drawdown, pm.volatility, pm.total_return,
+                ta.win_rate, ta.profit_factor, ta.avg_trade, ta.expectancy, ta.n_trades FROM pm JOIN ta USING (segment))
+  SELECT segment, {sql.ROUNDED} FROM mt"""
+
+ORACLE["strategy_leaderboard"] = " UNION ALL ".join(
+    f"""SELECT * FROM (WITH RECURSIVE {sql.signals_cte(s_)}, {sql.trades_cte()}, {sql.EQ}, mt AS ({sql.metrics_of('eq')})
+    SELECT '{s_}' AS strategy, round(avg(sharpe), 6) AS mean_sharpe, round(avg(total_return), 6) AS mean_return,
+           round(min(max_drawdown), 6) AS worst_drawdown, cast(sum(n_trades) AS bigint) AS n_trades FROM mt)"""
+    for s_ in ("momentum_breakout", "mean_reversion", "breakout_rr"))
