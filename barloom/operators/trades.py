@@ -1,6 +1,6 @@
 """From signals to trades, equity and returns.
 
-Each block of one run is walked in bar order by a small Arrow-batched function;
+Each block of one run is walked in bar order by a small function over Arrow columns;
 Spark partitions the blocks.  Runs longer than a block are walked block by block
 at once, first as if every block began without a position; a block whose true
 start differs from the assumed one is walked again, until all starts agree.
@@ -13,10 +13,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom.operators import layout
 from barloom.operators.layout import Series
@@ -49,19 +48,14 @@ class Account:
 
 
 _STATE = ["mode", "s_entry_no", "s_entry_ts", "s_entry_price", "s_units", "s_stop", "s_target", "s_cash"]
-_WALK_FIELDS = [
-    T.StructField("kind", T.StringType()),
-    T.StructField("entry_no", T.LongType()), T.StructField("exit_no", T.LongType()),
-    T.StructField("book_no", T.LongType()),
-    T.StructField("entry_ts", T.TimestampNTZType()), T.StructField("exit_ts", T.TimestampNTZType()),
-    T.StructField("entry_price", T.DoubleType()), T.StructField("exit_price", T.DoubleType()),
-    T.StructField("units", T.DoubleType()), T.StructField("reason", T.StringType()),
-    T.StructField("mode", T.StringType()), T.StructField("s_entry_no", T.LongType()),
-    T.StructField("s_entry_ts", T.TimestampNTZType()), T.StructField("s_entry_price", T.DoubleType()),
-    T.StructField("s_units", T.DoubleType()), T.StructField("s_stop", T.DoubleType()),
-    T.StructField("s_target", T.DoubleType()), T.StructField("s_cash", T.DoubleType()),
-    T.StructField("started_from", T.StringType()), T.StructField("ends_in", T.StringType()),
-]
+_WALK_COLUMNS = {
+    "kind": "string", "entry_no": "long", "exit_no": "long", "book_no": "long", "entry_ts": "timestamp_ntz",
+    "exit_ts": "timestamp_ntz", "entry_price": "double", "exit_price": "double", "units": "double", "reason": "string",
+    "mode": "string", "s_entry_no": "long", "s_entry_ts": "timestamp_ntz", "s_entry_price": "double",
+    "s_units": "double", "s_stop": "double", "s_target": "double", "s_cash": "double", "started_from": "string",
+    "ends_in": "string",
+}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "timestamp_ntz": pa.timestamp("us")}
 _BARS = ["bar_no", "n_bars", "ts", "open", "high", "low", "close", "entry", "exit", "stop", "take_profit", "trail"]
 
 
@@ -71,7 +65,7 @@ class _Position:
 
     mode: str = "flat"
     entry_no: int = -1
-    entry_ts: object = None
+    entry_ts: np.datetime64 | None = None
     entry_price: float = np.nan
     units: float = np.nan
     stop: float = np.nan
@@ -85,15 +79,16 @@ class _Position:
                                  (self.entry_price, self.units, self.stop, self.target, self.cash)])
 
 
-def _walk(bars: pd.DataFrame, pos: _Position, costs: Costs, account: Account) -> list[dict]:
+def _walk(bars: pa.Table, pos: _Position, costs: Costs, account: Account) -> list[dict]:
     """Trades closed in these bars; ``pos`` is left as it stands behind the last bar."""
-    if not bars["bar_no"].is_monotonic_increasing:
-        bars = bars.sort_values("bar_no")
-    no, ts = bars["bar_no"].to_numpy(), bars["ts"].to_numpy()
-    open_, high, low, close, stop, target = (
-        bars[c].to_numpy(dtype=float) for c in ("open", "high", "low", "close", "stop", "take_profit"))
-    enter, leave = bars["entry"].to_numpy(dtype=bool), bars["exit"].to_numpy(dtype=bool)
-    n, trail, last = int(bars["n_bars"].iloc[0]), bool(bars["trail"].iloc[0]), len(bars) - 1
+    column = {c: bars.column(c).to_numpy() for c in _BARS}
+    if np.any(np.diff(column["bar_no"]) < 0):
+        order = np.argsort(column["bar_no"])
+        column = {c: v[order] for c, v in column.items()}
+    no, ts, open_, high, low, close, enter, leave, stop, target = (
+        column[c] for c in ("bar_no", "ts", "open", "high", "low", "close", "entry", "exit", "stop", "take_profit"))
+    enter, leave = enter.astype(bool), leave.astype(bool)
+    n, trail, last = int(column["n_bars"][0]), bool(column["trail"][0]), len(no) - 1
     wants = np.flatnonzero(enter)
     trades: list[dict] = []
 
@@ -172,38 +167,31 @@ def _state_row(pos: _Position, started_from: str) -> dict:
             "s_target": pos.target, "s_cash": pos.cash, "started_from": started_from, "ends_in": pos.label()}
 
 
-def _position_of(row: pd.Series) -> _Position:
-    missing = pd.isna(row["s_entry_ts"])
-    return _Position(row["mode"].rstrip("+"), int(row["s_entry_no"]), None if missing else row["s_entry_ts"].to_numpy(),
-                     *(float(row[c]) if pd.notna(row[c]) else np.nan
-                       for c in ("s_entry_price", "s_units", "s_stop", "s_target", "s_cash")),
+def _position_of(row: dict) -> _Position:
+    at = row["s_entry_ts"]
+    return _Position(row["mode"].rstrip("+"), row["s_entry_no"], None if at is None else np.datetime64(at, "us"),
+                     *(row[c] for c in ("s_entry_price", "s_units", "s_stop", "s_target", "s_cash")),
                      rearm=row["mode"].endswith("+"))
 
 
 def _walker(group: list[str], costs: Costs, account: Account):
-    names = [f.name for f in _WALK_FIELDS]
     start_cash = 1.0 if account.allow_fractional else account.initial_cash
 
-    def walk_from(key: tuple, bars: pd.DataFrame, pos: _Position) -> pd.DataFrame:
+    def walk_from(key: tuple, bars: pa.Table, pos: _Position) -> pa.Table:
         started = pos.label()
         rows = _walk(bars, pos, costs, account)
-        out = pd.DataFrame([*rows, _state_row(pos, started)], columns=names)
-        for c in ("entry_no", "exit_no", "book_no", "s_entry_no"):
-            out[c] = out[c].astype("Int64")
-        for c in ("entry_ts", "exit_ts", "s_entry_ts"):
-            out[c] = pd.to_datetime(out[c])
-        out["reason"] = out["reason"].astype(object).where(out["reason"].notna(), None)
-        for at, (name, value) in enumerate(zip(group, key)):
-            out.insert(at, name, value)
-        return out
+        rows.append(_state_row(pos, started))
+        columns = {g: pa.array([k.as_py()] * len(rows), type=k.type) for g, k in zip(group, key)}
+        for c, kind in _WALK_COLUMNS.items():
+            columns[c] = pa.array([r.get(c) for r in rows], type=_ARROW[kind])
+        return pa.table(columns)
 
     def from_flat(key, bars):
         return walk_from(key, bars, _Position(cash=start_cash))
 
     def from_state(key, bars, state):
-        if bars.empty or state.empty:
-            return walk_from(key, bars, _Position(cash=start_cash)).iloc[:0]
-        return walk_from(key, bars, _position_of(state.iloc[0]))
+        # Both sides hold exactly the blocks to walk again.
+        return walk_from(key, bars, _position_of(state.to_pylist()[0]))
 
     return from_flat, from_state
 
@@ -222,10 +210,12 @@ def walk_runs(signals: Series, costs: Costs = Costs(), account: Account = Accoun
     quantity itself if only whole units may be traded.
     """
     keys, group = list(signals.keys), signals.group
-    bars = signals.select("blk", *_BARS)
-    schema = T.StructType([*[bars.schema[c] for c in group], *_WALK_FIELDS])
+    bars = signals.select("blk", *_BARS).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    bars = bars.withColumns({c: F.col(c).cast("double") for c in ("open", "high", "low", "close")})
+    schema = ", ".join([f"`{c}` {bars.schema[c].dataType.simpleString()}" for c in group]
+                       + [f"{c} {kind}" for c, kind in _WALK_COLUMNS.items()])
     from_flat, from_state = _walker(group, costs, account)
-    walked = bars.groupBy(*group).applyInPandas(from_flat, schema)
+    walked = bars.groupBy(*group).applyInArrow(from_flat, schema)
     if signals.multi:
         walked = cut_lineage(walked)
         while True:
@@ -233,7 +223,7 @@ def walk_runs(signals: Series, costs: Costs = Costs(), account: Account = Accoun
             if starts.isEmpty():
                 break
             redo = bars.join(starts.select(*group), group, "left_semi")
-            again = redo.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(from_state, schema)
+            again = redo.groupBy(*group).cogroup(starts.groupBy(*group)).applyInArrow(from_state, schema)
             walked = cut_lineage(walked.join(starts.select(*group), group, "left_anti").unionByName(again))
     return walked.filter("kind = 'trade'").select(
         *keys, "entry_no", "exit_no", "book_no", "entry_ts", "exit_ts", "entry_price", "exit_price", "units", "reason")
@@ -309,3 +299,70 @@ def backtest(signals: Series, costs: Costs = Costs(), account: Account = Account
     """(blotter, equity series) of every run."""
     blotter = book(walk_runs(signals, costs, account), signals, costs, account)
     return blotter, equity(blotter, signals, account, carry)
+
+
+# --- close-based variant: one decision per closed bar, orders at its close -----------
+
+CLOSE_INPUTS = ["ts", "close", "entry", "exit", "stop", "take_profit", "trail"]
+CLOSE_OUTPUT = {"ts": "timestamp_ntz", "action": "string", "price": "double", "qty": "double", "pnl": "double",
+                "equity": "double"}
+CLOSE_STATE = {"cash": "double", "held": "double", "entry_px": "double", "stop_px": "double", "target_px": "double",
+               "peak": "double", "killed": "boolean"}
+
+
+def close_start(cash: float) -> dict:
+    return {"cash": cash, "held": 0.0, "entry_px": None, "stop_px": None, "target_px": None, "peak": cash, "killed": False}
+
+
+def close_step(state: dict, rows: list[dict], costs: Costs = Costs(), risk: float = 0.0075, kill: float = 0.20,
+               warmup: int = 0, safety: float = 0.95) -> list[dict]:
+    """Manage the open position at each close, else consider an entry at the same close.
+
+    A bar that closes a position opens none.  A missing stop becomes ``safety``
+    times the price; an order the cash does not cover is not filled.
+    """
+    out = []
+    share = min(max(risk, 0.005), 0.01)
+    for r in rows:
+        if r["bar_no"] < warmup:
+            continue
+        price, action, qty, pnl, fill = r["close"], None, None, None, None
+
+        def mark() -> float:
+            value = state["cash"] + state["held"] * price
+            state["peak"] = max(state["peak"], value)
+            if value / state["peak"] - 1.0 <= -kill:
+                state["killed"] = True
+            return value
+
+        value = mark()
+        if state["held"] > 0:
+            if r["trail"] and r["stop"] is not None:
+                state["stop_px"] = max(state["stop_px"], r["stop"])
+            if price <= state["stop_px"]:
+                action = "stop"
+            elif state["target_px"] is not None and price >= state["target_px"]:
+                action = "take_profit"
+            elif r["exit"]:
+                action = "signal"
+            if action:
+                qty, fill = state["held"], price * (1 - costs.slip)
+                pnl = (fill - state["entry_px"]) * qty
+                state["cash"] += qty * fill * (1 - costs.taker_fee)
+                state["held"] = 0.0
+                value = mark()
+        elif r["entry"] and not state["killed"]:
+            stop = r["stop"] if r["stop"] is not None else price * safety
+            qty = value / price
+            if price > stop:
+                qty = min(value * share / (price - stop), qty)
+            fill = price * (1 + costs.slip)
+            cost = qty * fill * (1 + costs.taker_fee)
+            if qty > 0 and cost <= state["cash"] + 1e-9:
+                action = "open"
+                state["cash"] -= cost
+                state.update(held=qty, entry_px=fill, stop_px=stop, target_px=r["take_profit"])
+        if action:
+            out.append({"ts": r["ts"], "action": action, "price": fill, "qty": qty, "pnl": pnl,
+                        "equity": state["cash"] + state["held"] * price})
+    return out

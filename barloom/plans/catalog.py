@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +12,14 @@ from pyspark.sql import functions as F
 
 from barloom.functions import scalars, venue
 from barloom.operators import indicators as ind
-from barloom.operators import layout, metrics, quality, signals, trades
+from barloom.operators import folds, layout, ledger, metrics, quality, risk, signals, trades
 from barloom.operators.layout import Series
 from barloom.plans import resample, segments, sweep, validation
 from barloom.schemas import PRICE_COLUMNS
 from barloom.session import tune
 from barloom.sources import bars as bar_io
 from barloom.sources import fixtures as fx
+from barloom.streaming import bars as stream_ops
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -481,3 +485,195 @@ def strategy_leaderboard(spark, sf_dir):
     return board.groupBy("strategy").agg(
         F.round(F.avg("sharpe"), 6).alias("mean_sharpe"), F.round(F.avg("total_return"), 6).alias("mean_return"),
         F.round(F.min("max_drawdown"), 6).alias("worst_drawdown"), F.sum("n_trades").alias("n_trades"))
+
+
+# --- risk and ledger -------------------------------------------------------------------
+
+def _risk(spark, sf_dir, with_resets=True):
+    snaps = fx.equity_snapshots(spark, sf_dir).withColumn("reset", F.dayofmonth("ts") == 1)
+    s = layout.lay_out(snaps, ("account",))
+    limits = risk.Limits(max_positions=2, daily_loss=0.05, weekly_loss=0.06, kill_drawdown=0.17)
+    return risk.risk_state(s, 210_000.0, limits, "reset" if with_resets else None), limits
+
+
+@query
+def risk_state(spark, sf_dir):
+    s, _ = _risk(spark, sf_dir)
+    names = ("day_start", "week_start", "peak", "drawdown", "daily_pnl", "weekly_pnl")
+    return s.df.select("account", "ts", *rounded(**{n: n for n in names}), "kill_switch")
+
+
+@query
+def entry_decisions(spark, sf_dir):
+    s, limits = _risk(spark, sf_dir)
+    return risk.entry_decisions(s, limits).df.select("account", "ts", "allowed", "reason")
+
+
+def _fills(spark, sf_dir) -> Series:
+    return layout.lay_out(fx.ledger_fills(spark, sf_dir), ("symbol",), "seq", 86400)
+
+
+@query
+def position_history(spark, sf_dir):
+    return ledger.position_history(_fills(spark, sf_dir)).select(
+        "symbol", "seq", "ts", "qty", *rounded(4, avg_price="avg_price", realized_pnl="realized_pnl"))
+
+
+@query
+def marked_positions(spark, sf_dir):
+    held = ledger.current_positions(ledger.position_history(_fills(spark, sf_dir)), ["symbol"])
+    prices = fx.ledger_fills(spark, sf_dir).select("symbol", F.col("seq").alias("ts"), "price")
+    return ledger.mark_to_market(held, prices).select(
+        "symbol", "qty", *rounded(4, price="price", value="value", unrealized_pnl="unrealized_pnl"))
+
+
+@query
+def account_equity(spark, sf_dir):
+    """Cash plus positions per group of ten symbols."""
+    held = ledger.current_positions(ledger.position_history(_fills(spark, sf_dir)), ["symbol"])
+    prices = fx.ledger_fills(spark, sf_dir).select("symbol", F.col("seq").alias("ts"), "price")
+    marked = ledger.mark_to_market(held, prices).withColumn("venue", F.right("symbol", F.lit(1)))
+    return ledger.account_equity(marked, F.lit(10_000.0), ["venue"]).select("venue", *rounded(2, equity="equity"))
+
+
+def _order_flow(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders")
+    return o.select(
+        F.concat(F.lit("A"), (F.col("o_custkey") % 100).cast("string")).alias("account"), F.col("o_orderkey").alias("seq"),
+        F.col("o_orderpriority").alias("symbol"), F.when(F.col("o_custkey") % 3 == 0, "sell").otherwise("buy").alias("side"),
+        F.when(F.col("o_orderkey") % 4 == 0, "limit").otherwise("market").alias("type"),
+        (F.col("o_orderkey") % 7 + 1).cast("double").alias("qty"),
+        F.when(F.col("o_orderkey") % 8 == 0, F.round(F.col("o_totalprice") / 2000, 2)).alias("limit_price"),
+        F.round(F.col("o_totalprice") / 1000, 2).alias("price"))
+
+
+@query
+def order_admission(spark, sf_dir):
+    s = layout.lay_out(_order_flow(spark, sf_dir), ("account",), "seq", 1)
+    return ledger.admit_orders(s).select(
+        "account", "seq", "status", "reason", "filled_qty",
+        *rounded(9, fill_price="fill_price", fee="fee"), *rounded(4, cash_left="cash_left"))
+
+
+@query
+def idempotent_orders(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("client_id"), F.col("o_orderkey").alias("seq"),
+        F.element_at(F.array(F.lit("rejected"), F.lit("filled"), F.lit("submitted"), F.lit("rejected")),
+                     (F.col("o_orderkey") % 4 + 1).cast("int")).alias("status"), "o_totalprice")
+    return ledger.first_submissions(o, "seq")
+
+
+@query
+def trade_history(spark, sf_dir):
+    return ledger.last_fills(fx.ledger_fills(spark, sf_dir), ["symbol"], "seq", 100)
+
+
+def _position_rows(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders")
+    return o.select(F.concat(F.lit("A"), (F.col("o_custkey") % 100).cast("string")).alias("account"),
+                    F.col("o_orderpriority").alias("strategy_name"), F.col("o_orderkey").alias("position_id"),
+                    F.round(F.col("o_totalprice"), 2).alias("avg_price"),
+                    F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("closed_at"))
+
+
+@query
+def open_positions(spark, sf_dir):
+    return ledger.open_rows(_position_rows(spark, sf_dir)).drop("closed_at")
+
+
+@query
+def venue_summary(spark, sf_dir):
+    s, _ = _risk(spark, sf_dir, False)
+    out = ledger.venue_summary(s.df, _position_rows(spark, sf_dir), ["account"])
+    return out.select("account", *rounded(equity="equity", drawdown="drawdown"), "n_positions",
+                      F.concat_ws(",", "strategies").alias("strategies"))
+
+
+@query
+def alert_rows(spark, sf_dir):
+    s, _ = _risk(spark, sf_dir, False)
+    orders = fx.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("subject"), F.col("o_orderdate").alias("ts"),
+        F.when(F.col("o_orderstatus") == "F", "rejected").otherwise("filled").alias("status"))
+    gaps = quality.gaps(quality.delivered(fx.event_bars(spark, sf_dir), ("symbol",), "1h"))
+    return risk.alerts(s.df, ["account"], 0.12, 0.05, orders, gaps)
+
+
+@query
+def event_log_counts(spark, sf_dir):
+    orders, fills = fx.table(spark, sf_dir, "orders"), fx.ledger_fills(spark, sf_dir)
+    events = ledger.event_rows("order", orders, "o_orderdate", F.lit("order"), ["o_orderkey", "o_orderstatus"])
+    events = events.unionByName(ledger.event_rows("fill", fills, "ts", F.lit("fill"), ["symbol", "side", "qty"]))
+    events = events.unionByName(ledger.event_rows(
+        "error", orders.filter("o_orderstatus = 'F'"), "o_orderdate", F.lit("error"), ["o_orderkey"], "error"))
+    return ledger.event_counts(events)
+
+
+@query
+def close_based_trades(spark, sf_dir):
+    s = signals_of(spark, sf_dir, "momentum_breakout").with_columns({"ts": F.col("ts").cast("timestamp_ntz")})
+    step = functools.partial(trades.close_step, warmup=60)
+    out = folds.fold(s, step, functools.partial(trades.close_start, 10_000.0), trades.CLOSE_INPUTS, trades.CLOSE_OUTPUT,
+                     trades.CLOSE_STATE)
+    return out.select("symbol", "ts", "action", *rounded(price="price", qty="qty"), *rounded(4, pnl="pnl", equity="equity"))
+
+
+# --- streaming ----------------------------------------------------------------------------
+
+def _folder(spark) -> str:
+    """A new folder for one streaming run, in the shared folder the session names."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="barloom-stream-")
+
+
+def _as_stream(df: DataFrame, folder: str) -> DataFrame:
+    df.write.parquet(f"{folder}/input")
+    return df.sparkSession.readStream.schema(df.schema).parquet(f"{folder}/input")
+
+
+@query
+def stream_tick_bars(spark, sf_dir):
+    folder, name = _folder(spark), "events.parquet"
+    schema = spark.read.parquet(f"{sf_dir}/{name}").schema
+    ticks = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(sf_dir)
+    out = stream_ops.run_available(stream_ops.tick_bars(ticks, "event_type", "value", "event_id"), folder)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query
+def stream_clean_bars(spark, sf_dir):
+    folder = _folder(spark)
+    faulty = fx.faulty_bars(spark, sf_dir).withColumn("close", F.when(F.dayofmonth("ts") != 28, F.col("close")).otherwise(1.0))
+    out = stream_ops.run_available(stream_ops.ingest_bars(_as_stream(faulty.drop("ingest_seq"), folder), "3650 days"), folder)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _signal_stream(spark, sf_dir):
+    folder = _folder(spark)
+    bars = fx.walk_bars(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream_ops.run_available(stream_ops.momentum_signals(_as_stream(bars, folder)), folder)
+
+
+@query
+def stream_signals(spark, sf_dir):
+    return _signal_stream(spark, sf_dir).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "entry", "exit",
+                                                *rounded(stop="stop"))
+
+
+@query
+def stream_positions(spark, sf_dir):
+    folder = _folder(spark)
+    found = _signal_stream(spark, sf_dir)
+    out = stream_ops.run_available(stream_ops.manage_positions(_as_stream(found, folder), warmup=60), folder)
+    return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "action", *rounded(price="price", qty="qty"),
+                      *rounded(4, pnl="pnl", equity="equity"))
+
+
+@query
+def stream_risk(spark, sf_dir):
+    folder = _folder(spark)
+    snaps = fx.equity_snapshots(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).select("account", "ts", "equity")
+    out = stream_ops.run_available(stream_ops.risk_monitor(_as_stream(snaps, folder), 210_000.0, 0.17), folder)
+    return out.select("account", F.col("ts").cast("timestamp_ntz").alias("ts"),
+                      *rounded(drawdown="drawdown", daily_pnl="daily_pnl", weekly_pnl="weekly_pnl"), "kill_switch")

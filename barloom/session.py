@@ -12,6 +12,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Work per byte is high here (windows, parameter sets, simulations): merge small
+    # partitions only below this size, so that little input still uses all cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     # A table hashed on (key, blk) may join on (key, blk, bar_no) without being
     # shuffled again; only the small side moves.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",

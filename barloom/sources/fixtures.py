@@ -168,13 +168,13 @@ def ledger_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("symbol", "ts",
                 (F.unix_seconds(F.col("ts").cast("timestamp")) * 2 + F.when(F.col("side") == "sell", 1).otherwise(0))
                 .alias("seq"),
-                "side", "qty", F.round(F.col("_cents") / (100.0 * F.col("qty")), 4).alias("price"))
+                "side", "qty", F.round(F.col("_cents") / (100.0 * F.col("qty")), 9).alias("price"))
     )
 
 
 LEDGER_FILLS_SQL = """
   SELECT symbol, ts, cast(epoch(ts) AS bigint) * 2 + CASE WHEN side = 'sell' THEN 1 ELSE 0 END AS seq,
-         side, qty, round(cents / (100.0 * qty), 4) AS price
+         side, qty, round(cents / (100.0 * qty), 9) AS price
   FROM (SELECT concat('S', cast(l_suppkey AS varchar)) AS symbol, l_shipdate AS ts,
                CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side,
                sum(l_quantity) AS qty, sum(cast(round(l_extendedprice * 100) AS bigint)) AS cents

@@ -286,3 +286,139 @@ ORACLE["strategy_leaderboard"] = " UNION ALL ".join(
     SELECT '{s_}' AS strategy, round(avg(sharpe), 6) AS mean_sharpe, round(avg(total_return), 6) AS mean_return,
            round(min(max_drawdown), 6) AS worst_drawdown, cast(sum(n_trades) AS bigint) AS n_trades FROM mt)"""
     for s_ in ("momentum_breakout", "mean_reversion", "breakout_rr"))
+
+# --- risk and ledger ---------------------------------------------------------------
+
+
+def risk_cte(resets: bool) -> str:
+    flag = "day(ts) = 1" if resets else "false"
+    week = "year(cast(date_trunc('week', {0}) AS date) + 3) * 100 + week({0})"
+    return f"""a AS (SELECT *, lag(equity) OVER w AS pe, lag(ts) OVER w AS pt, CASE WHEN {flag} THEN 1 ELSE 0 END AS rs
+           FROM ({EQUITY_SNAPSHOTS_SQL}) WINDOW w AS (PARTITION BY account ORDER BY ts)),
+  b AS (SELECT *, coalesce(pe, 210000.0) AS base, sum(rs) OVER (PARTITION BY account ORDER BY ts) - rs AS ep,
+               pt IS NULL OR cast(pt AS date) <> cast(ts AS date) AS nd,
+               pt IS NULL OR {week.format('pt')} <> {week.format('ts')} AS nw FROM a),
+  c AS (SELECT *, last_value(CASE WHEN nd THEN base END IGNORE NULLS) OVER v AS day_start,
+               last_value(CASE WHEN nw THEN base END IGNORE NULLS) OVER v AS week_start,
+               max(greatest(equity, CASE WHEN f = 1 THEN base END)) OVER (PARTITION BY account, ep ORDER BY ts) AS peak
+        FROM (SELECT *, row_number() OVER (PARTITION BY account, ep ORDER BY ts) AS f FROM b)
+        WINDOW v AS (PARTITION BY account ORDER BY ts)),
+  d AS (SELECT *, equity / peak - 1 AS drawdown, equity / day_start - 1 AS daily_pnl, equity / week_start - 1 AS weekly_pnl FROM c),
+  rk AS (SELECT *, max(CASE WHEN drawdown <= -0.17 THEN 1 ELSE 0 END) OVER (PARTITION BY account, ep ORDER BY ts) > 0 AS kill_switch FROM d)"""
+
+
+ORACLE["risk_state"] = f"""WITH {risk_cte(True)} SELECT account, ts, round(day_start, 6) AS day_start, round(week_start, 6) AS week_start,
+  round(peak, 6) AS peak, round(drawdown, 6) AS drawdown, round(daily_pnl, 6) AS daily_pnl, round(weekly_pnl, 6) AS weekly_pnl, kill_switch FROM rk"""
+ORACLE["entry_decisions"] = f"""WITH {risk_cte(True)}, e AS (SELECT account, ts, CASE WHEN kill_switch THEN 'kill_switch_active'
+    WHEN drawdown <= -0.17 THEN 'kill_switch_drawdown_breach' WHEN n_open >= 2 THEN 'max_concurrent_positions'
+    WHEN daily_pnl <= -0.05 THEN 'daily_loss_limit' WHEN weekly_pnl <= -0.06 THEN 'weekly_loss_limit' ELSE 'ok' END AS reason FROM rk)
+  SELECT account, ts, reason = 'ok' AS allowed, reason FROM e"""
+
+_POS = f"""WITH RECURSIVE f AS MATERIALIZED (SELECT *, CASE WHEN side = 'buy' THEN qty ELSE -qty END AS mv,
+      row_number() OVER (PARTITION BY symbol ORDER BY seq) AS i FROM ({LEDGER_FILLS_SQL})),
+  p AS (SELECT symbol, cast(0 AS bigint) AS i, cast(NULL AS bigint) AS seq, cast(NULL AS timestamp) AS ts, cast(0 AS double) AS q,
+               cast(NULL AS double) AS av, cast(0 AS double) AS rl FROM (SELECT DISTINCT symbol FROM f)
+        UNION ALL
+        SELECT f.symbol, f.i, f.seq, f.ts, CASE WHEN abs(p.q + mv) < 1e-12 AND av IS NOT NULL THEN 0 ELSE p.q + mv END,
+               CASE WHEN av IS NULL THEN price WHEN abs(p.q + mv) < 1e-12 THEN NULL
+                    WHEN (p.q >= 0 AND mv > 0) OR (p.q <= 0 AND mv < 0) THEN (av * p.q + price * mv) / (p.q + mv) ELSE av END,
+               rl + CASE WHEN av IS NOT NULL AND p.q > 0 AND mv < 0 THEN (price - av) * least(-mv, p.q) ELSE 0 END
+        FROM p JOIN f ON f.symbol = p.symbol AND f.i = p.i + 1),
+  ps AS (SELECT * FROM p WHERE i > 0),
+  la AS (SELECT symbol, arg_max(q, seq) AS q, arg_max({{'v': av}}, seq).v AS av FROM ps GROUP BY 1 HAVING abs(arg_max(q, seq)) >= 1e-12),
+  px AS (SELECT symbol, arg_max(price, seq) AS price FROM f GROUP BY 1)"""
+ORACLE["position_history"] = f"{_POS} SELECT symbol, seq, ts, q AS qty, round(av, 4) AS avg_price, round(rl, 4) AS realized_pnl FROM ps"
+ORACLE["marked_positions"] = f"""{_POS} SELECT symbol, q AS qty, round(price, 4) AS price, round(q * price, 4) AS value,
+  round((price - av) * q, 4) AS unrealized_pnl FROM la JOIN px USING (symbol)"""
+ORACLE["account_equity"] = f"""{_POS} SELECT right(symbol, 1) AS venue, round(10000.0 + sum(q * price), 2) AS equity FROM la JOIN px USING (symbol) GROUP BY 1"""
+
+_SYM = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_held = "CASE symbol " + " ".join(f"WHEN '{s}' THEN h{k}" for k, s in enumerate(_SYM)) + " END"
+_upd = ", ".join(
+    f"CASE WHEN symbol <> '{s}' OR status = 'rejected' THEN h{k} WHEN side = 'buy' THEN h{k} + qty ELSE h{k} - least(qty, h{k}) END AS h{k}"
+    for k, s in enumerate(_SYM))
+ORACLE["order_admission"] = f"""WITH RECURSIVE o AS MATERIALIZED (
+    SELECT concat('A', cast(o_custkey % 100 AS varchar)) AS account, o_orderkey AS seq, o_orderpriority AS symbol,
+           CASE WHEN o_custkey % 3 = 0 THEN 'sell' ELSE 'buy' END AS side, cast(o_orderkey % 7 + 1 AS double) AS qty,
+           CASE WHEN o_orderkey % 8 = 0 THEN round(o_totalprice / 2000, 2) ELSE round(o_totalprice / 1000, 2) END AS px,
+           row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) AS i FROM orders),
+  r AS (SELECT account, cast(0 AS bigint) AS i, cast(NULL AS bigint) AS seq, cast(10000 AS double) AS cash,
+               {', '.join(f'cast(0 AS double) AS h{k}' for k in range(5))},
+               cast(NULL AS varchar) AS status, cast(NULL AS varchar) AS reason, cast(0 AS double) AS qty, cast(0 AS double) AS fill
+        FROM (SELECT DISTINCT account FROM o)
+        UNION ALL
+        SELECT account, i, seq,
+               CASE WHEN status = 'rejected' THEN cash WHEN side = 'buy' THEN cash - qty * fill * 1.0005
+                    ELSE cash + least(qty, held) * fill * 0.9995 END,
+               {_upd}, status, CASE WHEN status = 'rejected' THEN CASE WHEN side = 'buy' THEN 'insufficient_cash' ELSE 'no_position' END END,
+               qty, fill
+        FROM (SELECT *, CASE WHEN side = 'buy' AND qty * fill * 1.0005 > cash + 1e-9 THEN 'rejected'
+                             WHEN side = 'sell' AND least(qty, held) <= 0 THEN 'rejected' ELSE 'filled' END AS status
+              FROM (SELECT o.*, r.cash, {', '.join(f'r.h{k}' for k in range(5))}, {_held.replace('CASE symbol', 'CASE o.symbol')} AS held,
+                           px * CASE WHEN side = 'buy' THEN 1.0005 ELSE 0.9995 END AS fill
+                    FROM r JOIN o ON o.account = r.account AND o.i = r.i + 1)))
+  SELECT account, seq, status, reason, CASE WHEN status = 'filled' THEN qty ELSE 0 END AS filled_qty,
+         CASE WHEN status = 'filled' THEN round(fill, 9) ELSE 0 END AS fill_price,
+         CASE WHEN status = 'filled' THEN round(qty * fill * 0.0005, 9) ELSE 0 END AS fee, round(cash, 4) AS cash_left FROM r WHERE i > 0"""
+
+ORACLE["idempotent_orders"] = """WITH x AS (SELECT concat('c', cast(o_custkey AS varchar)) AS client_id, o_orderkey AS seq,
+    CASE o_orderkey % 4 WHEN 1 THEN 'filled' WHEN 2 THEN 'submitted' ELSE 'rejected' END AS status, o_totalprice FROM orders)
+  SELECT client_id, seq, status, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY client_id
+    ORDER BY CASE WHEN status = 'rejected' THEN 1 ELSE 0 END, CASE WHEN status = 'rejected' THEN -seq ELSE seq END) AS rn FROM x) WHERE rn = 1"""
+ORACLE["trade_history"] = f"""SELECT symbol, ts, seq, side, qty, price FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) AS rn FROM ({LEDGER_FILLS_SQL})) WHERE rn <= 100"""
+_OPEN = "SELECT concat('A', cast(o_custkey % 100 AS varchar)) AS account, o_orderpriority AS strategy_name, o_orderkey AS position_id, round(o_totalprice, 2) AS avg_price FROM orders WHERE o_orderstatus = 'O'"
+ORACLE["open_positions"] = _OPEN
+ORACLE["venue_summary"] = f"""WITH {risk_cte(False)},
+  l AS (SELECT account, arg_max(equity, ts) AS equity, arg_max(drawdown, ts) AS drawdown FROM rk GROUP BY 1),
+  h AS (SELECT account, count(*) AS n, string_agg(DISTINCT strategy_name, ',' ORDER BY strategy_name) AS st FROM ({_OPEN}) GROUP BY 1)
+  SELECT account, round(coalesce(equity, 0), 6) AS equity, round(coalesce(drawdown, 0), 6) AS drawdown, coalesce(n, 0) AS n_positions,
+         coalesce(st, '') AS strategies FROM l FULL JOIN h USING (account)"""
+ORACLE["alert_rows"] = f"""WITH {risk_cte(False)}, {_HOURLY.replace('x AS', 'hx AS').replace('FROM x', 'FROM hx')}
+  SELECT account AS subject, ts, 'drawdown' AS kind FROM rk WHERE drawdown < -0.12
+  UNION ALL SELECT account, ts, 'daily_loss' FROM rk WHERE daily_pnl < -0.05
+  UNION ALL SELECT concat('o', cast(o_orderkey AS varchar)), o_orderdate, 'rejected_order' FROM orders WHERE o_orderstatus = 'F'
+  UNION ALL SELECT symbol, ts, 'data_gap' FROM r WHERE gap""".replace(", a AS (SELECT r.symbol", ", an AS (SELECT r.symbol").replace(
+    "\n  a AS (SELECT r.symbol", "\n  an AS (SELECT r.symbol").replace("FROM g JOIN a USING", "FROM g JOIN an USING")
+ORACLE["event_log_counts"] = f"""WITH e AS (SELECT 'order' AS category, o_orderdate AS seen FROM orders
+    UNION ALL SELECT 'fill', ts FROM ({LEDGER_FILLS_SQL})
+    UNION ALL SELECT 'error', o_orderdate FROM orders WHERE o_orderstatus = 'F')
+  SELECT category, cast(seen AS date) AS day, count(*) AS n, max(seen) AS last_at FROM e GROUP BY 1, 2"""
+
+_CLOSE = f"""WITH RECURSIVE {sql.signals_cte('momentum_breakout')},
+  k AS (
+    SELECT symbol, cast(59 AS bigint) AS i, cast(10000 AS double) AS cash, cast(0 AS double) AS held, cast(NULL AS double) AS epx,
+           cast(NULL AS double) AS st, cast(10000 AS double) AS peak, false AS killed, cast(NULL AS varchar) AS action,
+           cast(NULL AS double) AS price, cast(NULL AS double) AS qty, cast(NULL AS double) AS pnl, cast(0 AS double) AS equity,
+           cast(NULL AS timestamp) AS ts FROM (SELECT DISTINCT symbol FROM sg WHERE i = 60)
+    UNION ALL
+    SELECT symbol, i, cash2, held2, CASE WHEN action = 'open' THEN close * 1.0005 ELSE epx END,
+           CASE WHEN action = 'open' THEN nst ELSE st1 END,
+           greatest(pk1, CASE WHEN action IN ('stop', 'signal') THEN cash2 ELSE 0 END),
+           kl1 OR (action IN ('stop', 'signal') AND cash2 / greatest(pk1, cash2) - 1 <= -0.2), action,
+           CASE action WHEN 'open' THEN close * 1.0005 WHEN 'stop' THEN close * 0.9995 WHEN 'signal' THEN close * 0.9995 END,
+           CASE WHEN action = 'open' THEN q WHEN action IS NOT NULL THEN held END,
+           CASE WHEN action IN ('stop', 'signal') THEN (close * 0.9995 - epx) * held END, cash2 + held2 * close, ts
+    FROM (SELECT *, CASE WHEN action = 'open' THEN cash - q * (close * 1.0005) * 1.0005
+                         WHEN action IN ('stop', 'signal') THEN cash + held * (close * 0.9995) * 0.9995 ELSE cash END AS cash2,
+                 CASE WHEN action = 'open' THEN q WHEN action IN ('stop', 'signal') THEN 0 ELSE held END AS held2
+      FROM (SELECT *, CASE WHEN held > 0 THEN CASE WHEN close <= st1 THEN 'stop' WHEN exit THEN 'signal' END
+                           WHEN entry AND NOT kl1 AND q > 0 AND q * (close * 1.0005) * 1.0005 <= cash + 1e-9 THEN 'open' END AS action
+        FROM (SELECT *, CASE WHEN close > nst THEN least(val * 0.0075 / (close - nst), val / close) ELSE val / close END AS q,
+                     killed OR val / pk1 - 1 <= -0.2 AS kl1
+          FROM (SELECT *, greatest(peak, val) AS pk1, CASE WHEN stop IS NULL THEN st ELSE greatest(st, stop) END AS st1,
+                       coalesce(stop, close * 0.95) AS nst
+            FROM (SELECT s.*, k.cash, k.held, k.epx, k.st, k.peak, k.killed, k.cash + k.held * s.close AS val
+                  FROM k JOIN sg s ON s.symbol = k.symbol AND s.i = k.i + 1))))))
+  SELECT symbol, ts, action, round(price, 6) AS price, round(qty, 6) AS qty, round(pnl, 4) AS pnl, round(equity, 4) AS equity
+  FROM k WHERE action IS NOT NULL"""
+ORACLE["close_based_trades"] = _CLOSE
+ORACLE["stream_positions"] = _CLOSE
+
+ORACLE["stream_tick_bars"] = f"""SELECT symbol, ts, open, high, low, close, volume FROM ({EVENT_BARS_SQL})
+  WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+ORACLE["stream_clean_bars"] = f"""SELECT DISTINCT symbol, ts, open, high, low, CASE WHEN day(ts) = 28 THEN 1.0 ELSE close END AS close, volume
+  FROM ({FAULTY_BARS_SQL}) WHERE close IS NOT NULL"""
+ORACLE["stream_signals"] = f"WITH RECURSIVE {sql.signals_cte('momentum_breakout')} SELECT symbol, ts, entry, exit, round(stop, 6) AS stop FROM sg"
+ORACLE["stream_risk"] = f"""WITH {risk_cte(False)} SELECT account, ts, round(drawdown, 6) AS drawdown, round(daily_pnl, 6) AS daily_pnl,
+  round(weekly_pnl, 6) AS weekly_pnl, kill_switch FROM rk"""
