@@ -13,6 +13,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barloom.session import cut_lineage
+
 BLOCK = 16_384
 SUB = 64
 
@@ -58,6 +60,15 @@ class Series:
         return self.df.filter("core").select(*self.keys, *columns)
 
 
+def settle(series: Series) -> Series:
+    """Write a blocked series once where several passes read it; short series stay lazy.
+
+    The carry across blocks needs a summary pass and a row pass; without this,
+    every further step would repeat all the steps before it.
+    """
+    return series.using(cut_lineage(series.df)) if series.multi else series
+
+
 def longest_series(df: DataFrame, keys: tuple[str, ...]) -> int:
     """Rows of the longest key; one map-side combined aggregate, one number back."""
     row = df.groupBy(*keys).count().agg(F.max("count")).first()

@@ -285,18 +285,19 @@ def equity(trades: DataFrame, signals: Series, account: Account = Account(), car
               .select(*signals.keys, "_e.*").withColumn("blk", home))
     bars = signals.using(signals.select("blk", "sub", "core", "bar_no", "n_bars", "ts", "close", *carry))
     joined = bars.using(bars.df.join(events, [*signals.group, "bar_no"], "left"))
-    s = layout.running(joined, {"cash": ("last", F.col("cash")), "held": ("last", F.col("held"))})
+    s = layout.running(layout.settle(joined), {"cash": ("last", F.col("cash")), "held": ("last", F.col("held"))})
     value = F.coalesce(F.col("cash"), F.lit(account.initial_cash)) + F.coalesce(F.col("held"), F.lit(0.0)) * F.col("close")
     s = s.with_columns({"equity": F.when(F.coalesce(F.col("held"), F.lit(0.0)) == 0,
                                          F.coalesce(F.col("cash"), F.lit(account.initial_cash))).otherwise(value)})
     s = layout.previous(s, {"_before": "equity"})
     s = s.with_columns({"ret": F.col("equity") / F.nullif(F.col("_before"), F.lit(0.0)) - 1.0})
-    return s.using(s.df.drop("_before", "cash", "held"))
+    return layout.settle(s.using(s.df.drop("_before", "cash", "held")))
 
 
 def backtest(signals: Series, costs: Costs = Costs(), account: Account = Account(),
              carry: tuple[str, ...] = ()) -> tuple[DataFrame, Series]:
     """(blotter, equity series) of every run."""
+    signals = layout.settle(signals.using(signals.select("blk", "sub", "core", *_BARS, *carry)))
     blotter = book(walk_runs(signals, costs, account), signals, costs, account)
     return blotter, equity(blotter, signals, account, carry)
 

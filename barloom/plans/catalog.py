@@ -524,7 +524,7 @@ def marked_positions(spark, sf_dir):
     held = ledger.current_positions(ledger.position_history(_fills(spark, sf_dir)), ["symbol"])
     prices = fx.ledger_fills(spark, sf_dir).select("symbol", F.col("seq").alias("ts"), "price")
     return ledger.mark_to_market(held, prices).select(
-        "symbol", "qty", *rounded(4, price="price", value="value", unrealized_pnl="unrealized_pnl"))
+        "symbol", "qty", *rounded(9, price="price"), *rounded(4, value="value", unrealized_pnl="unrealized_pnl"))
 
 
 @query
@@ -552,7 +552,7 @@ def order_admission(spark, sf_dir):
     s = layout.lay_out(_order_flow(spark, sf_dir), ("account",), "seq", 1)
     return ledger.admit_orders(s).select(
         "account", "seq", "status", "reason", "filled_qty",
-        *rounded(9, fill_price="fill_price", fee="fee"), *rounded(4, cash_left="cash_left"))
+        *rounded(9, fill_price="fill_price"), *rounded(11, fee="fee"), *rounded(4, cash_left="cash_left"))
 
 
 @query

@@ -328,7 +328,7 @@ _POS = f"""WITH RECURSIVE f AS MATERIALIZED (SELECT *, CASE WHEN side = 'buy' TH
   la AS (SELECT symbol, arg_max(q, seq) AS q, arg_max({{'v': av}}, seq).v AS av FROM ps GROUP BY 1 HAVING abs(arg_max(q, seq)) >= 1e-12),
   px AS (SELECT symbol, arg_max(price, seq) AS price FROM f GROUP BY 1)"""
 ORACLE["position_history"] = f"{_POS} SELECT symbol, seq, ts, q AS qty, round(av, 4) AS avg_price, round(rl, 4) AS realized_pnl FROM ps"
-ORACLE["marked_positions"] = f"""{_POS} SELECT symbol, q AS qty, round(price, 4) AS price, round(q * price, 4) AS value,
+ORACLE["marked_positions"] = f"""{_POS} SELECT symbol, q AS qty, round(price, 9) AS price, round(q * price, 4) AS value,
   round((price - av) * q, 4) AS unrealized_pnl FROM la JOIN px USING (symbol)"""
 ORACLE["account_equity"] = f"""{_POS} SELECT right(symbol, 1) AS venue, round(10000.0 + sum(q * price), 2) AS equity FROM la JOIN px USING (symbol) GROUP BY 1"""
 
@@ -359,7 +359,7 @@ ORACLE["order_admission"] = f"""WITH RECURSIVE o AS MATERIALIZED (
                     FROM r JOIN o ON o.account = r.account AND o.i = r.i + 1)))
   SELECT account, seq, status, reason, CASE WHEN status = 'filled' THEN qty ELSE 0 END AS filled_qty,
          CASE WHEN status = 'filled' THEN round(fill, 9) ELSE 0 END AS fill_price,
-         CASE WHEN status = 'filled' THEN round(qty * fill * 0.0005, 9) ELSE 0 END AS fee, round(cash, 4) AS cash_left FROM r WHERE i > 0"""
+         CASE WHEN status = 'filled' THEN round(qty * fill * 0.0005, 11) ELSE 0 END AS fee, round(cash, 4) AS cash_left FROM r WHERE i > 0"""
 
 ORACLE["idempotent_orders"] = """WITH x AS (SELECT concat('c', cast(o_custkey AS varchar)) AS client_id, o_orderkey AS seq,
     CASE o_orderkey % 4 WHEN 1 THEN 'filled' WHEN 2 THEN 'submitted' ELSE 'rejected' END AS status, o_totalprice FROM orders)

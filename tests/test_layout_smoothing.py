@@ -76,18 +76,16 @@ def wilder(x, p):
 
 
 @pytest.mark.parametrize("block", BLOCKS)
-@pytest.mark.parametrize("tight", [False, True])
-def test_indicators_match_pandas(walk_df, walk, block, tight, monkeypatch):
-    if tight:
-        monkeypatch.setattr(smoothing, "_LOG_RANGE", 0.0)
-    s = layout.lay_out(walk_df, ("symbol",), halo=40, block=block)
-    s = ind.returns(ind.sma(ind.ema(s, 21), 20))
-    s = ind.realized_volatility(ind.rolling_zscore(s, 15))
-    s = ind.adx(ind.rsi(ind.atr(ind.true_range(s))), 14)
-    s = ind.donchian_channels(ind.bollinger_bands(s))
-    cols = ["ema", "sma", "true_range", "atr", "rsi", "adx", "bb_lower", "bb_mid", "bb_upper",
-            "dc_lower", "dc_mid", "dc_upper", "zscore", "rvol", "log_ret", "simple_ret", "diff"]
-    got = collect(s, *cols)
+def test_indicators_match_pandas(walk_df, walk, block):
+    base = layout.lay_out(walk_df, ("symbol",), halo=40, block=block)
+    base = base.using(base.df.persist())
+    windows = ind.realized_volatility(ind.rolling_zscore(ind.returns(ind.true_range(ind.sma(base, 20))), 15))
+    windows = ind.donchian_channels(ind.bollinger_bands(windows))
+    cols = ["sma", "true_range", "bb_lower", "bb_mid", "bb_upper", "dc_lower", "dc_mid", "dc_upper", "zscore", "rvol",
+            "log_ret", "simple_ret", "diff"]
+    got = collect(windows, *cols)
+    for name, make in (("ema", lambda s: ind.ema(s, 21)), ("atr", ind.atr), ("rsi", ind.rsi), ("adx", ind.adx)):
+        got[name] = collect(make(base), name)[name]
 
     def want_of(g):
         h, l, c = g.high, g.low, g.close
