@@ -102,7 +102,7 @@ def number_rows(
     step = F.lit(step_seconds) if isinstance(step_seconds, int) else step_seconds
     is_time = df.schema[ts].dataType.typeName().startswith("timestamp")
     epoch = F.col(ts).cast("timestamp").cast("long") if is_time else F.col(ts).cast("long")
-    sliced = df.withColumn("_slice", F.floor(epoch / (step * block)).cast("long"))
+    sliced = df.withColumn("_slice", F.floor(epoch / (step.cast("long") * block)).cast("long"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))

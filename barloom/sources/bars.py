@@ -64,6 +64,14 @@ def merged(existing: DataFrame, new: DataFrame, key: list[str] = BAR_KEY, order:
     return existing.join(fresh, key, "left_anti").unionByName(fresh.select(*existing.columns))
 
 
+def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A partitioned bar table with the column types of ``like``.
+
+    The types are given, not inferred: the partition value '1d' would be read as a number.
+    """
+    return spark.read.schema(like.schema).parquet(path)
+
+
 def upsert(spark: SparkSession, new: DataFrame, path: str, key: list[str] = BAR_KEY,
            partitions: tuple[str, ...] = ("timeframe", "symbol")) -> int:
     """Write new bars into a partitioned parquet table, rewriting only touched partitions.
@@ -77,7 +85,7 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, key: list[str] = BAR_
     target = new
     if _has_files(spark, path):
         touched = new.select(*partitions).distinct()
-        old = spark.read.parquet(path).join(touched, list(partitions), "left_semi")
+        old = read_table(spark, path, new).join(touched, list(partitions), "left_semi")
         target = cut_lineage(merged(old.select(*new.columns), new, key))
     (target.repartition(*partitions, F.month("ts")).sortWithinPartitions(*partitions, "ts").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))

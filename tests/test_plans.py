@@ -1,5 +1,7 @@
 """Whole plans give the same result whatever the block size, and known verdicts."""
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -198,11 +200,6 @@ def test_close_based_fold_over_blocks(bars):
     for block in (layout.BLOCK, SMALL):
         s = layout.lay_out(bars, ("symbol",), halo=22, block=block)
         s = signals.generate(s, "momentum_breakout").with_columns({"ts": F.col("ts").cast("timestamp_ntz")})
-        out.append(folds.fold(s, trades.close_step, CloseStart(), trades.CLOSE_INPUTS, trades.CLOSE_OUTPUT, trades.CLOSE_STATE))
+        out.append(folds.fold(s, trades.close_step, functools.partial(trades.close_start, 10_000.0), trades.CLOSE_INPUTS, trades.CLOSE_OUTPUT, trades.CLOSE_STATE))
     same(*out, ["symbol", "ts"])
 
-
-class CloseStart:
-    def __call__(self):
-        return {"cash": 10_000.0, "held": 0.0, "entry_px": None, "stop_px": None, "target_px": None, "peak": 10_000.0,
-                "killed": False}
