@@ -10,13 +10,10 @@ grouped by their bytes. JVM functions only.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import fresh_path, materialised, settings, written
+from barloom.llm.shared import fresh_path, located, materialised, settings, written
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -29,22 +26,6 @@ def sha256(content: Column) -> Column:
     return F.unhex(F.sha2(content, 256))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``doc`` (the whole row) and ``at`` (file, row): where the content of each row lies.
-
-    A table that is not read straight from Parquet files is written to the shared
-    folder first, so that its rows have a place that does not change.
-    """
-    if re.search(r"\b(Join|Generate|Union|Expand|Aggregate|Window)\b", docs._jdf.queryExecution().analyzed().toString()):
-        docs = written(docs, "dedup-content")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at")
-    try:
-        return docs.select(row, place)
-    except AnalysisException:  # not from files at all
-        return written(docs, "dedup-content").select(row, place)
-
-
 def fold(feed: DataFrame, files_per_batch: int) -> DataFrame:
     """Run the stream over ``feed`` and return its state: ``digest, keep, group_size``."""
     spark = feed.sparkSession

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """``doc`` (the whole row) and ``at`` (file, row): where the content of each row lies.
+
+    A table that is not read straight from Parquet files is written to the shared
+    folder first, so that its rows have a place that does not change.
+    """
+    if re.search(r"\b(Join|Generate|Union|Expand|Aggregate|Window)\b", docs._jdf.queryExecution().analyzed().toString()):
+        docs = written(docs, "content")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at")
+    try:
+        return docs.select(row, place)
+    except AnalysisException:  # not from files at all
+        return written(docs, "content").select(row, place)
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings (``__`` for ``.``) for the length of a block."""
