@@ -31,7 +31,9 @@ def fold(feed: DataFrame, files_per_batch: int) -> DataFrame:
     spark = feed.sparkSession
     path, state = fresh_path(spark, "dedup-feed"), fresh_path(spark, "dedup-state")
     feed.write.parquet(path)
-    with settings(spark, spark__sql__streaming__stateStore__providerClass=STATE_STORE):
+    # Many small stores: without files allocated ahead.
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=STATE_STORE,
+                  spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false"):
         rows = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
         kept = rows.groupBy("digest").agg(F.min("row").alias("keep"), F.count("*").alias("group_size"))
         query = (kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", state)
