@@ -135,3 +135,30 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if new.where("label <> old").limit(1).count() == 0:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def key_bits(keys: DataFrame, key: str, least: int = 1 << 18, most: int = 1 << 27) -> DataFrame:
+    """A bitmap of hashed ``key`` values, one row per 4 KiB: at most ``most`` bits (16 MiB), so it may be broadcast."""
+    bits = least
+    wanted = 16 * keys.count()
+    while bits < min(wanted, most):
+        bits *= 2
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    rows = (keys.select(place.alias("_place"))
+            .groupBy(F.bitmap_bucket_number("_place").alias("_part"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+            .withColumn("_modulus", F.lit(bits)))
+    return materialised(rows)
+
+
+def maybe_in(df: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
+    """Rows whose key may be in the bitmap; drops none whose key is. A false hit only costs later work."""
+    first = bits.first()
+    if first is None:
+        return df.where("false")
+    place = F.pmod(F.xxhash64(key), F.lit(first._modulus))
+    at = F.bitmap_bit_position("_place").cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(at, F.lit(8)))), F.lit(2)) == 1
+    return (df.withColumn("_place", place).withColumn("_part", F.bitmap_bucket_number("_place"))
+            .join(F.broadcast(bits.select("_part", "_bits")), "_part").where(hit).drop("_part", "_bits", "_place"))
