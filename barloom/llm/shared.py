@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import re
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -137,6 +139,12 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def worker_memo(name: str) -> dict:
+    """A dictionary that a Python worker keeps from task to task."""
+    holder = sys.modules.setdefault("_barloom_worker_memo", types.ModuleType("_barloom_worker_memo"))
+    return holder.__dict__.setdefault(name, {})
+
+
 def key_bits(keys: DataFrame, key: str, least: int = 1 << 18, most: int = 1 << 27) -> DataFrame:
     """A bitmap of hashed ``key`` values, one row per 4 KiB: at most ``most`` bits (16 MiB), so it may be broadcast."""
     bits = least
