@@ -30,6 +30,8 @@ from barloom.llm.shared import settings, worker_memo, written
 CAPACITY = 4096
 #: Rounds of the linear program.
 ROUNDS = 250
+#: Shares of the fractional solution that are tried in rounding.
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.1)
 #: Strings a Python worker remembers the ids of (some 150 bytes each).
 CACHE = 1_000_000
 #: Rows of one length ranked in one task at most (about).
@@ -183,17 +185,25 @@ def solve(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[l
 
 
 def plan(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Plan:
-    """Round the linear program's solution and fill up by best fit; work and size depend on lengths, not on pieces."""
-    left = histogram.copy()
-    chosen, bound = solve(left, capacity, rounds)
+    """Round the linear program's solution and fill up by best fit; work and size depend on lengths, not on pieces.
+
+    The less of the solution is kept as it is, the more is left to best fit: the
+    share that needs the fewest sequences is taken.
+    """
+    chosen, bound = solve(histogram, capacity, rounds)
     total: dict[bytes, float] = {}
     for copies, counts in chosen:
         total[counts.tobytes()] = total.get(counts.tobytes(), 0) + copies
+    return min((_rounded(histogram, capacity, total, share, bound) for share in SHARES), key=lambda p: p.sequences)
+
+
+def _rounded(histogram: np.ndarray, capacity: int, total: dict[bytes, float], share: float, bound: float) -> Plan:
+    left = histogram.copy()
     by_free: list[list] = [[] for _ in range(capacity + 1)]  # groups of equal sequences: [copies, {length: repeats}]
     for key, copies in sorted(total.items(), key=lambda kv: -kv[1]):
         counts = np.frombuffer(key, np.int64)
         used = np.flatnonzero(counts)
-        copies = min(int(copies), int((left[used] // counts[used]).min()))
+        copies = min(int(share * copies), int((left[used] // counts[used]).min()))
         if copies > 0:
             left[used] -= copies * counts[used]
             by_free[capacity - int((counts * np.arange(capacity + 1)).sum())].append(
