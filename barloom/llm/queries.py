@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, exact_dedup, near_join, packing
+from barloom.llm import decontaminate, exact_dedup, language, near_join, packing
 from barloom.llm.shared import table
 
 
@@ -33,10 +34,22 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.join(table(spark, sf_dir, "documents")).drop("at")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages, judged together."""
+    no_id = F.lit(None).cast("long")
+    documents = table(spark, sf_dir, "documents").select(
+        *language.document_evidence(F.struct(F.lit("document").alias("kind"), "doc_id", no_id.alias("page_id"), F.col("lang").alias("declared"))))
+    pages = table(spark, sf_dir, "pages").select(
+        *language.page_evidence(F.struct(F.lit("page").alias("kind"), no_id.alias("doc_id"), "page_id",
+                                         language.markup_tag(F.col("html")).alias("declared"))))
+    return language.identify(documents.unionByName(pages)).select("key.*", "language", "confidence", "letters", "accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
+    "op10_language_id": op10_language_id,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
