@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import settings
+from barloom.llm.shared import bounded_sample, settings
 
-#: Pages the classifier is fitted on at most.
+#: Pages the classifier is fitted on (expected; at most twice as many).
 SAMPLE_PAGES = 500
 #: Weight of an element's hint against the text's log odds (cut off at ODDS), and of edges to the next block and in a container.
 HINT, ODDS, NEXT, SAME = 6.0, 3.0, 0.6, 0.4
@@ -285,14 +285,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: ``page_id, url, text, n_chars`` (code points).
 
     Blocks of content are joined by one space in page order. A null, empty or
-    all-boilerplate page has an empty text. The classifier is fitted on the
-    ``sample_pages`` pages with the smallest hashes of their html. Repeated rows
+    all-boilerplate page has an empty text. The classifier is fitted on
+    some ``sample_pages`` pages drawn by hash. Repeated rows
     stay. An empty table gives an empty result. Other columns are ignored.
     """
     source = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"),
                           F.col(f"`{html_col}`").alias("html"))
-    sample = source.select(F.xxhash64("html").alias("h"), "page_id", "html").orderBy("h", "page_id").limit(sample_pages)
-    weights = train([r.html for r in sample.select("html").collect()])
+    weights = train([r.html for r in bounded_sample(source.select("page_id", "html"), sample_pages).collect()])
     kinds = dict(source.dtypes)
     with settings(pages.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
         return source.mapInArrow(_extract(weights), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

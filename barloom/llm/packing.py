@@ -87,17 +87,30 @@ class Encoder:
                 known[w] = np.array(e.ids, "<u4").tobytes()
         return known
 
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of strings without white space, A-Z lower-cased; their pieces are remembered."""
+        split = [self._split(w.decode("utf-8")) for w in words]
+        known = self._lookup(split)
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+
+    def _lookup(self, split: list[list[bytes]]):
+        new = set().union(*split).difference(self.known)
+        if not new:
+            return self.known
+        learnt = self._learn(new)
+        if len(self.known) < CACHE:
+            self.known.update(learnt)
+            return self.known
+        return ChainMap(learnt, self.known)  # the memo is full: for these texts only
+
+    @staticmethod
+    def _split(text: str | None) -> list[bytes]:
+        data = (text or "").encode("utf-8").lower()
+        return (data if b"<|" in data else STOP.sub(rb" \g<0>", data)).split()
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t if b"<|" in t else STOP.sub(rb" \g<0>", t)).split()
-                 for t in ((t or "").encode("utf-8").lower() for t in texts)]
-        known = self.known
-        new = set().union(*split).difference(known)
-        if new:
-            learnt = self._learn(new)
-            if len(known) < CACHE:
-                known.update(learnt)
-            else:  # the memo is full: for these texts only
-                known = ChainMap(learnt, known)
+        split = [self._split(t) for t in texts]
+        known = self._lookup(split)
         return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, exact_dedup, extract, language, near_join, packing, secrets, url_filter
+from barloom.llm import chat, decontaminate, exact_dedup, extract, language, lm, near_join, packing, secrets, url_filter
 from barloom.llm.shared import table
 
 
@@ -21,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).withColumn("length", F.length("value")).withColumn(
         "value", F.sha2("value", 256)).withColumnRenamed("value", "value_sha256")
@@ -79,6 +83,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_secret_scan": op3_secret_scan,
     "op4_html_extraction": op4_html_extraction,
     "op5_exact_dedup": op5_exact_dedup,

@@ -101,6 +101,12 @@ def small_enough(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` rows drawn by a hash of their values, twice as many at most; all of a smaller table."""
+    share = min(1.0, rows / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * rows)
+
+
 def broadcast_if(df: DataFrame, limit: int) -> DataFrame:
     """The table marked for broadcast if it has at most ``limit`` rows, else as it is (a shuffled join)."""
     return F.broadcast(df) if small_enough(df, limit) else df
