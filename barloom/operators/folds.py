@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.layout import Series
+from barloom.operators.layout import Series, join_on
 from barloom.session import cut_lineage
 
 _TYPES = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(),
@@ -61,6 +61,6 @@ def fold(series: Series, step: Callable[[dict, list[dict]], list[dict]], start:
         states = at.filter("_kind = 'state'").select(*keys, F.lit(blk).cast("bigint").alias("blk"), *state)
         current = rows.filter(F.col("blk") == blk)
         at = cut_lineage(current.groupBy(*group).cogroup(
-            states.join(current.select(*group).distinct(), group, "left_semi").groupBy(*group)).applyInArrow(later, schema))
+            join_on(states, current.select(*group).distinct(), group, "left_semi").groupBy(*group)).applyInArrow(later, schema))
         parts = parts.unionByName(at)
     return parts.filter("_kind = 'row'").select(*keys, *output)

@@ -37,6 +37,7 @@ def lowest_of(series: Series, source: str, n: int) -> Column:
 
 
 def before(series: Series, column: str | Column) -> Column:
+    series.need(1)
     return F.lag(column).over(series.order())
 
 

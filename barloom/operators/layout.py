@@ -9,6 +9,7 @@ many tasks.  Which layout is used follows from a count of the rows per key.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ class Series:
     keys: tuple[str, ...]
     block: int
     longest: int
+    halo: int = 0
 
     @property
     def multi(self) -> bool:
@@ -45,8 +47,14 @@ class Series:
 
     def rows(self, n: int) -> WindowSpec:
         """The current row and the n - 1 rows before it."""
+        self.need(n - 1)
         return self.order().rowsBetween(-(n - 1), 0)
 
+    def need(self, n: int) -> None:
+        """Raise if rows ``n`` back may lie in a block whose tail was not copied."""
+        if self.multi and n > reach(self.halo):
+            raise ValueError(f"{n} rows back are needed, the layout copies {reach(self.halo)}; lay out with halo={n}")
+
     def with_columns(self, columns: dict[str, Column]) -> Series:
         return replace(self, df=self.df.withColumns(columns))
 
@@ -60,6 +68,18 @@ class Series:
         return self.df.filter("core").select(*self.keys, *columns)
 
 
+def reach(halo: int) -> int:
+    """Rows of a block copied into the next."""
+    return SUB + -(-halo // SUB) * SUB if halo else 0
+
+
+def join_on(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where NULL equals NULL, so that rows of a NULL key or time stay."""
+    named = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return left.join(named, same, how).drop(*[f"_on_{c}" for c in on])
+
+
 def settle(series: Series) -> Series:
     """Write a blocked series once where several passes read it; short series stay lazy.
 
@@ -99,7 +119,8 @@ def number_rows(
             "n_bars": F.count(F.lit(1)).over(whole),
         }), longest
 
-    step = F.lit(step_seconds) if isinstance(step_seconds, int) else step_seconds
+    # A step that is not known only decides how wide the slices are.
+    step = F.lit(step_seconds) if isinstance(step_seconds, int) else F.coalesce(step_seconds, F.lit(86400))
     is_time = df.schema[ts].dataType.typeName().startswith("timestamp")
     epoch = F.col(ts).cast("timestamp").cast("long") if is_time else F.col(ts).cast("long")
     sliced = df.withColumn("_slice", F.floor(epoch / (step.cast("long") * block)).cast("long"))
@@ -114,8 +135,7 @@ def number_rows(
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(ts)
     numbered = (
-        sliced.withColumn("_rn", F.row_number().over(inside) - 1)
-        .join(offsets, [*keys, "_slice"])
+        join_on(sliced.withColumn("_rn", F.row_number().over(inside) - 1), offsets, [*keys, "_slice"])
         .withColumn("bar_no", (F.col("_off") + F.col("_rn")).cast("long"))
         .drop("_slice", "_off", "_rn")
     )
@@ -138,10 +158,10 @@ def block_rows(
     if not halo:
         df = numbered.withColumns({"blk": home, "sub": sub, "core": F.lit(True)})
         return Series(df.repartition(*keys, "blk"), keys, block, longest)
-    reach = SUB + -(-halo // SUB) * SUB
-    if reach > block:
+    copied = reach(halo)
+    if copied > block:
         raise ValueError(f"frame of {halo} rows does not fit blocks of {block}")
-    repeated = (F.col("bar_no") % block >= block - reach) & ((home + 1) * block < F.col("n_bars"))
+    repeated = (F.col("bar_no") % block >= block - copied) & ((home + 1) * block < F.col("n_bars"))
     df = (
         numbered.withColumns({"sub": sub, "_home": home})
         .withColumn("blk", F.explode(F.sequence(home, home + repeated.cast("long"))))
@@ -149,7 +169,7 @@ def block_rows(
         .drop("_home")
         .repartition(*keys, "blk")
     )
-    return Series(df, keys, block, longest)
+    return Series(df, keys, block, longest, halo)
 
 
 def lay_out(
@@ -192,7 +212,7 @@ def running(series: Series, columns: dict[str, tuple[str, Column]]) -> Series:
         (F.sum if kind == "count" else _LOCAL[kind])(F.col(f"_blk_{n}")).over(earlier).alias(f"_carry_{n}")
         for n, (kind, _) in columns.items()
     ])
-    joined = s.df.join(carry, s.group)
+    joined = join_on(s.df, carry, s.group)
     out = {}
     for n, (kind, _) in columns.items():
         local, front = _LOCAL[kind](F.col(f"_in_{n}")).over(upto), F.col(f"_carry_{n}")
@@ -217,7 +237,7 @@ def previous(series: Series, columns: dict[str, str]) -> Series:
         *[F.max_by(F.col(c), F.col("bar_no")).alias(f"_tail_{n}") for n, c in columns.items()]
     ).withColumn("blk", F.col("blk") + 1)
     edge = F.col("bar_no") % s.block == 0
-    df = s.df.join(tails, s.group, "left").withColumns({
+    df = join_on(s.df, tails, s.group, "left").withColumns({
         n: F.when(edge, F.col(f"_tail_{n}")).otherwise(F.lag(c).over(s.order())) for n, c in columns.items()
     })
     return s.using(df.drop(*[f"_tail_{n}" for n in columns]))

@@ -2,54 +2,74 @@
 
 from __future__ import annotations
 
-from functools import partial
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import folds
-from barloom.operators.layout import Series
+from barloom.operators.layout import SUB, Series, join_on, running, settle
 from barloom.operators.trades import Costs
 from barloom.schemas import EVENT_CATEGORIES
 
 _FLAT = 1e-12
 
 
-def _average_step(state: dict, rows: list[dict]) -> list[dict]:
-    """Average entry price and realised pnl, fill by fill."""
-    out = []
-    for r in rows:
-        qty, move, price = state["held"], r["signed_qty"], r["price"]
-        new, gain = qty + move, 0.0
-        if not state["open"]:
-            state["held_price"], state["open"] = price, True
-        else:
-            if qty > 0 and move < 0:
-                gain = (price - state["held_price"]) * min(-move, qty)
-            if abs(new) < _FLAT:
-                new, state["open"] = 0.0, False
-            elif (qty >= 0 and move > 0) or (qty <= 0 and move < 0):
-                state["held_price"] = (state["held_price"] * qty + price * move) / new
-        state["held"] = new
-        state["realized"] += gain
-        out.append({"seq": r["seq"], "ts": r["ts"], "qty": new, "avg_price": state["held_price"] if state["open"] else None,
-                    "realized_pnl": state["realized"]})
-    return out
+# Maps folded together at one level of the tree.
+_FAN_OUT = 256
+
+
+def _compose(maps: Column) -> Column:
+    """The affine map ``y -> m * y + c`` that a list of such maps, first one first, comes to."""
+    return F.aggregate(maps, F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("c")), lambda before, step: F.struct(
+        (step.getField("m") * before.getField("m")).alias("m"),
+        (step.getField("m") * before.getField("c") + step.getField("c")).alias("c")))
+
+
+def _maps_before(records: DataFrame, keys: list[str], idx: str, count: int) -> DataFrame:
+    """(keys, idx, front): the map of all records (keys, idx, map) of a key before ``idx``.
+
+    At most ``_FAN_OUT`` records are composed in one go; groups of them are the next level.
+    """
+    up = f"{idx}_up"
+    records = records.withColumn(up, F.floor(F.col(idx) / _FAN_OUT).cast("long"))
+    earlier = Window.partitionBy(*keys, up).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
+    inside = records.withColumn("front", _compose(F.collect_list("map").over(earlier)))
+    if count > _FAN_OUT:
+        groups = records.groupBy(*keys, up).agg(_compose(F.transform(
+            F.array_sort(F.collect_list(F.struct(idx, "map"))), lambda r: r.getField("map"))).alias("map"))
+        above = _maps_before(groups, keys, up, -(-count // _FAN_OUT)).withColumnRenamed("front", "_above")
+        inside = join_on(inside, above, [*keys, up]).withColumn("front", _compose(F.array("_above", "front")))
+    return inside.select(*keys, idx, "front")
 
 
 def position_history(fills: Series) -> DataFrame:
     """Position of each symbol after every fill: quantity, average price, realised pnl.
 
     Fills carry seq, ts, side, qty, price.  Adding moves the average price;
-    reducing a long realises pnl; crossing zero keeps the old average.
+    reducing a long realises pnl; crossing zero keeps the old average.  Quantities
+    are added as decimals of 12 digits, so that a position closed is exactly flat.
+    The average price is an affine map of the one before: maps are composed within
+    sub-blocks, then over them.
     """
-    signed = F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
-    s = fills.with_columns({"signed_qty": signed.cast("double"), "ts": F.col("ts").cast("timestamp_ntz")})
-    return folds.fold(
-        s, _average_step, lambda: {"held": 0.0, "held_price": 0.0, "open": False, "realized": 0.0},
-        ["seq", "ts", "signed_qty", "price"],
-        {"seq": "bigint", "ts": "timestamp_ntz", "qty": "double", "avg_price": "double", "realized_pnl": "double"},
-        {"held": "double", "held_price": "double", "open": "boolean", "realized": "double"})
+    size = F.coalesce(F.col("qty"), F.lit(0.0)).cast("decimal(26,12)")
+    s = running(fills.with_columns({"_move": F.when(F.col("side") == "buy", size).otherwise(-size)}), {"_held": ("sum", F.col("_move"))})
+    s = s.with_columns({"_had": (F.col("_held") - F.col("_move")).cast("double"), "_held": F.col("_held").cast("double"),
+                        "_move": F.col("_move").cast("double"), "ts": F.col("ts").cast("timestamp_ntz")})
+    fresh, adds = F.col("_had") == 0, F.signum("_had") == F.signum("_move")
+    s = settle(s.with_columns({"map": F.struct(
+        F.when(fresh, 0.0).when(adds, F.col("_had") / F.col("_held")).otherwise(1.0).alias("m"),
+        F.when(fresh, F.col("price")).when(adds, F.col("price") * F.col("_move") / F.col("_held")).otherwise(0.0).alias("c"))}))
+    upto = Window.partitionBy(*s.group, "sub").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = s.df.withColumn("map", _compose(F.collect_list("map").over(upto)))
+    ends = rows.groupBy(*s.keys, "sub").agg(F.max_by("map", "bar_no").alias("map"))
+    fronts = _maps_before(ends, list(s.keys), "sub", -(-s.longest // SUB))
+    # The first fill of a key is fresh, so its map does not look back.
+    average = F.col("map.m") * F.col("front.c") + F.col("map.c")
+    s = s.using(join_on(rows, fronts, [*s.keys, "sub"]).withColumn("_average", average))
+    sold = F.when((F.col("_had") > 0) & (F.col("_move") < 0), F.least(-F.col("_move"), F.col("_had"))).otherwise(0.0)
+    s = running(s, {"realized_pnl": ("sum", sold * (F.col("price") - F.col("_average")))})
+    return s.select("seq", "ts", F.col("_held").alias("qty"), F.when(F.col("_held") != 0, F.col("_average")).alias("avg_price"), "realized_pnl")
 
 
 def current_positions(history: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,35 +92,22 @@ def account_equity(marked: DataFrame, cash: Column, by: list[str] | None = None)
     return marked.groupBy(*(by or [])).agg((cash + F.coalesce(F.sum("value"), F.lit(0.0))).alias("equity"))
 
 
-def _admit_step(state: dict, rows: list[dict], costs: Costs) -> list[dict]:
-    """Cash and holding checks; ``state['held']`` is the text form of the holdings."""
-    held = {k: float(v) for k, v in (item.split("=") for item in state["held"].split(";") if item)}
-    out = []
+# Reasons of a rejected order.
+REASONS = {"buy": "insufficient_cash", "sell": "no_position"}
+
+
+def _admit_step(state: dict, rows: list[dict]) -> list[dict]:
+    """Which orders leave neither cash nor a holding below zero; ``state['held']`` is a JSON text."""
+    held, out = json.loads(state["held"]), []
     for r in rows:
-        base = r["limit_price"] if r["type"] == "limit" and r["limit_price"] else r["price"]
-        buy = r["side"] == "buy"
-        fill = base * (1 + costs.slip) if buy else base * (1 - costs.slip)
-        notional = r["qty"] * fill
-        fee, status, reason = notional * costs.taker_fee, "filled", None
-        if buy:
-            if notional + fee > state["cash"] + 1e-9:
-                status, reason = "rejected", "insufficient_cash"
-            else:
-                state["cash"] -= notional + fee
-                held[r["symbol"]] = held.get(r["symbol"], 0.0) + r["qty"]
-        else:
-            qty = min(r["qty"], held.get(r["symbol"], 0.0))
-            if qty <= 0:
-                status, reason = "rejected", "no_position"
-            else:
-                state["cash"] += qty * fill * (1 - costs.taker_fee)
-                held[r["symbol"]] -= qty
-                if abs(held[r["symbol"]]) < _FLAT:
-                    del held[r["symbol"]]
-        ok = status == "filled"
-        out.append({"seq": r["seq"], "status": status, "reason": reason, "filled_qty": r["qty"] if ok else 0.0,
-                    "fill_price": fill if ok else 0.0, "fee": fee if ok else 0.0, "cash_left": state["cash"]})
-    state["held"] = ";".join(f"{k}={v!r}" for k, v in sorted(held.items()))
+        sign, have = r["sign"], held.get(r["symbol"], 0.0)
+        size = r["qty"] if sign > 0 else min(r["qty"], have)
+        left = state["cash"] - sign * size * r["unit"]
+        ok = left >= -1e-9 if sign > 0 else size > 0
+        if ok:
+            state["cash"], held[r["symbol"]] = left, have + sign * size
+        out.append({"seq": r["seq"], "ok": ok, "cash_left": state["cash"]})
+    state["held"] = json.dumps({k: v for k, v in held.items() if abs(v) >= _FLAT})
     return out
 
 
@@ -110,13 +117,21 @@ def admit_orders(orders: Series, starting_cash: float = 10_000.0, costs: Costs =
     Orders carry seq, symbol, side, type, qty, limit_price and the market price.
     A buy needs cash for value and fee; a sell is cut to the held quantity (the
     answer still reports the full quantity) and rejected if nothing is held.
+    Prices, fees and texts are columns; only the balances are folded.
     """
-    return folds.fold(
-        orders, partial(_admit_step, costs=costs), lambda: {"cash": float(starting_cash), "held": ""},
-        ["seq", "symbol", "side", "type", "qty", "limit_price", "price"],
-        {"seq": "bigint", "status": "string", "reason": "string", "filled_qty": "double", "fill_price": "double",
-         "fee": "double", "cash_left": "double"},
-        {"cash": "double", "held": "string"})
+    sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
+    limit = F.when((F.col("type") == "limit") & (F.col("limit_price") != 0), F.col("limit_price"))
+    s = orders.with_columns({"sign": sign, "fill": F.coalesce(limit, F.col("price")) * (1 + sign * costs.slip)})
+    s = s.with_columns({"unit": F.col("fill") * (1 + F.col("sign") * costs.taker_fee)})
+    told = folds.fold(s, _admit_step, lambda: {"cash": float(starting_cash), "held": "{}"}, ["seq", "symbol", "sign", "qty", "unit"],
+                      {"seq": "bigint", "ok": "boolean", "cash_left": "double"}, {"cash": "double", "held": "string"})
+    both = join_on(s.select("seq", "sign", "qty", "fill"), told, [*s.keys, "seq"])
+    when_ok = lambda c: F.when(F.col("ok"), c).otherwise(0.0)
+    return both.select(
+        *s.keys, "seq", F.when(F.col("ok"), "filled").otherwise("rejected").alias("status"),
+        F.when(~F.col("ok"), F.when(F.col("sign") > 0, REASONS["buy"]).otherwise(REASONS["sell"])).alias("reason"),
+        when_ok(F.col("qty")).alias("filled_qty"), when_ok(F.col("fill")).alias("fill_price"),
+        when_ok(F.col("qty") * F.col("fill") * costs.taker_fee).alias("fee"), "cash_left")
 
 
 def first_submissions(orders: DataFrame, order: str, client: str = "client_id") -> DataFrame:

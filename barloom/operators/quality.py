@@ -73,7 +73,7 @@ def anomalies(series: Series, z: float = 12.0) -> Series:
         stats = per_block.withColumns({"_n": F.sum("_bn").over(key), "_m": mean}).withColumn(
             "_sd", F.sqrt(F.sum(F.col("_bn") * (F.col("_bv") + F.pow(F.col("_bm") - F.col("_m"), 2))).over(key)
                           / F.nullif(F.col("_n"), F.lit(0))))
-        s = series.using(series.df.join(stats.select(*series.group, "_n", "_m", "_sd"), series.group))
+        s = series.using(layout.join_on(series.df, stats.select(*series.group, "_n", "_m", "_sd"), series.group))
     spread = F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))
     s = s.with_columns({"is_anomaly": F.coalesce((F.col("_n") > 20) & (F.abs((r - F.col("_m")) / spread) > z),
                                                  F.lit(False))})
@@ -117,7 +117,7 @@ def report(
         F.sum("_neg").alias("n_negative_volume"), F.sum("_anom").alias("n_anomalies"), F.max("_late").alias("_late"),
         F.flatten(F.collect_list(F.when(F.size("_first_gaps") > 0, F.col("_first_gaps")))).alias("_g"))
     if expected is not None:
-        total = expected.select(*keys).distinct().join(total, list(keys), "left")
+        total = layout.join_on(expected.select(*keys).distinct(), total, list(keys), "left")
     empty = F.col("n_candles").isNull()
     say = lambda name, text: F.when(F.col(name) > 0, F.concat(F.col(name).cast("string"), F.lit(f" {text}")))
     notes = F.array_compact(F.array(

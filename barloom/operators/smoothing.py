@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.layout import SUB, Series
+from barloom.operators.layout import SUB, Series, join_on
 
 # Largest total decay, in log units, that one stretch of running sums may span.
 _LOG_RANGE = 400.0
@@ -197,8 +197,8 @@ def _carries(records: DataFrame, keys: list[str], idx: str, names: list[str], ro
         start = _empty_all(names)
     else:
         totals = grouped.select(*keys, up, _total(names).alias("rec"))
-        grouped = grouped.join(
-            _carries(totals, keys, up, names, -(-rows // FAN_OUT)).withColumnRenamed("carry", "_start"),
+        grouped = join_on(
+            grouped, _carries(totals, keys, up, names, -(-rows // FAN_OUT)).withColumnRenamed("carry", "_start"),
             [*keys, up])
         start = F.col("_start")
     return (grouped.select(*keys, F.explode(_in_front(idx, names, start)).alias("_e"))
@@ -233,8 +233,8 @@ def _many_stretches(series: Series, specs: dict[str, Smooth]) -> Series:
     if s.multi:
         totals = in_block.select(*s.group, _total(names).alias("rec"))
         blocks = -(-s.longest // s.block)
-        in_block = in_block.join(
-            _carries(totals, list(s.keys), "blk", names, blocks).withColumnRenamed("carry", "_start"), s.group)
+        in_block = join_on(
+            in_block, _carries(totals, list(s.keys), "blk", names, blocks).withColumnRenamed("carry", "_start"), s.group)
         first = F.col("_start")
     else:
         first = _empty_all(names)
@@ -243,7 +243,7 @@ def _many_stretches(series: Series, specs: dict[str, Smooth]) -> Series:
     if s.multi:
         # Copied rows of the previous block need the carry of their own stretch.
         carry = carry.withColumn("blk", F.explode(F.array("blk", F.col("blk") + 1)))
-    rows = rows.join(carry, part)
+    rows = join_on(rows, carry, part)
 
     out = {}
     for n, spec in specs.items():

@@ -199,7 +199,7 @@ def _walker(group: list[str], costs: Costs, account: Account):
 def _misplaced(states: DataFrame, keys: list[str]) -> DataFrame:
     """Start states of the blocks whose assumed start is not where the block before ended."""
     ends = states.select(*keys, (F.col("blk") + 1).alias("blk"), *_STATE, F.col("ends_in").alias("_true"))
-    return (ends.join(states.select(*keys, "blk", "started_from"), [*keys, "blk"])
+    return (layout.join_on(ends, states.select(*keys, "blk", "started_from"), [*keys, "blk"])
             .filter(F.col("started_from") != F.col("_true")).drop("started_from", "_true"))
 
 
@@ -222,9 +222,9 @@ def walk_runs(signals: Series, costs: Costs = Costs(), account: Account = Accoun
             starts = cut_lineage(_misplaced(walked.filter("kind = 'state'"), keys))
             if starts.isEmpty():
                 break
-            redo = bars.join(starts.select(*group), group, "left_semi")
+            redo = layout.join_on(bars, starts.select(*group), group, "left_semi")
             again = redo.groupBy(*group).cogroup(starts.groupBy(*group)).applyInArrow(from_state, schema)
-            walked = cut_lineage(walked.join(starts.select(*group), group, "left_anti").unionByName(again))
+            walked = cut_lineage(layout.join_on(walked, starts.select(*group), group, "left_anti").unionByName(again))
     return walked.filter("kind = 'trade'").select(
         *keys, "entry_no", "exit_no", "book_no", "entry_ts", "exit_ts", "entry_price", "exit_price", "units", "reason")
 
@@ -284,7 +284,7 @@ def equity(trades: DataFrame, signals: Series, account: Account = Account(), car
     events = (trades.select(*signals.keys, F.explode(F.array(left, entered)).alias("_e")).filter("_e IS NOT NULL")
               .select(*signals.keys, "_e.*").withColumn("blk", home))
     bars = signals.using(signals.select("blk", "sub", "core", "bar_no", "n_bars", "ts", "close", *carry))
-    joined = bars.using(bars.df.join(events, [*signals.group, "bar_no"], "left"))
+    joined = bars.using(layout.join_on(bars.df, events, [*signals.group, "bar_no"], "left"))
     s = layout.running(layout.settle(joined), {"cash": ("last", F.col("cash")), "held": ("last", F.col("held"))})
     value = F.coalesce(F.col("cash"), F.lit(account.initial_cash)) + F.coalesce(F.col("held"), F.lit(0.0)) * F.col("close")
     s = s.with_columns({"equity": F.when(F.coalesce(F.col("held"), F.lit(0.0)) == 0,

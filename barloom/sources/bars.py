@@ -58,9 +58,19 @@ def before(bars: DataFrame, until: datetime | str) -> DataFrame:
     return bars.filter(F.col("ts") < F.lit(until).cast(bars.schema["ts"].dataType))
 
 
+def latest(new: DataFrame, key: list[str], order: str | None) -> DataFrame:
+    if order:
+        return one_per_key(new, key, order, "last").select(*new.columns)
+    others = [c for c in new.columns if c not in key]
+    return new.groupBy(*key).agg(F.max(F.struct(*others)).alias("_row")).select(*key, "_row.*").select(*new.columns)
+
+
 def merged(existing: DataFrame, new: DataFrame, key: list[str] = BAR_KEY, order: str | None = None) -> DataFrame:
-    """Existing rows with new rows put in their place; ``order`` breaks ties among new rows."""
-    fresh = one_per_key(new, key, order, "last") if order else new
+    """Existing rows with new rows put in their place.
+
+    Of new rows with one key the last by ``order`` stays, without it the greatest row.
+    """
+    fresh = latest(new, key, order)
     return existing.join(fresh, key, "left_anti").unionByName(fresh.select(*existing.columns))
 
 
@@ -73,20 +83,21 @@ def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 def upsert(spark: SparkSession, new: DataFrame, path: str, key: list[str] = BAR_KEY,
-           partitions: tuple[str, ...] = ("timeframe", "symbol")) -> int:
+           partitions: tuple[str, ...] = ("timeframe", "symbol"), order: str | None = None) -> int:
     """Write new bars into a partitioned parquet table, rewriting only touched partitions.
 
-    Returns the number of rows given.  The merge is cut from its source before
+    Returns the number of rows given.  Rows of one key inside a batch leave one,
+    as in ``merged``.  The merge is cut from its source before
     the partitions it was read from are overwritten.
     """
     written = new.count()
     if not written:
         return 0
-    target = new
+    target = latest(new, key, order)
     if _has_files(spark, path):
         touched = new.select(*partitions).distinct()
         old = read_table(spark, path, new).join(touched, list(partitions), "left_semi")
-        target = cut_lineage(merged(old.select(*new.columns), new, key))
+        target = cut_lineage(merged(old.select(*new.columns), new, key, order))
     (target.repartition(*partitions, F.month("ts")).sortWithinPartitions(*partitions, "ts").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
     return written

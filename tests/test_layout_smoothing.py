@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.operators import indicators as ind
@@ -121,3 +122,24 @@ def test_rsi_edges(spark):
     s = ind.rsi(layout.lay_out(up, ("symbol",)))
     rows = s.select("bar_no", "rsi").orderBy("bar_no").collect()
     assert all(r.rsi is None for r in rows[:14]) and all(r.rsi > 95 for r in rows[14:])
+
+
+@pytest.mark.parametrize("block", BLOCKS)
+def test_null_keys_times_and_steps_keep_their_rows(walk_df, block):
+    rows = walk_df.withColumns({"symbol": F.when(F.col("symbol") != "S1", F.col("symbol")),
+                                "ts": F.when(F.dayofmonth("ts") != 3, F.col("ts"))}).withColumn("n", F.row_number().over(
+                                    Window.orderBy("symbol", "ts", "close")))
+    n = rows.count()
+    for step in (86400, F.lit(None).cast("int")):
+        s = layout.lay_out(rows, ("symbol",), step_seconds=step, block=block)
+        s = layout.running(s, {"seen": ("count", F.lit(1))})
+        got = s.select("n", "bar_no", "seen").toPandas()
+        assert len(got) == n and got.n.nunique() == n
+        assert (got.bar_no + 1 == got.seen).all()
+
+
+def test_a_frame_longer_than_the_copied_tail_raises(walk_df):
+    with pytest.raises(ValueError, match="halo"):
+        ind.sma(layout.lay_out(walk_df, ("symbol",), halo=64, block=256), 200)
+    with pytest.raises(ValueError, match="halo"):
+        ind.returns(layout.lay_out(walk_df, ("symbol",), block=256))

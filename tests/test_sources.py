@@ -1,5 +1,4 @@
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +36,17 @@ def test_upsert_is_idempotent_and_prunes(spark, sf_dir, tmp_path):
     assert io.upsert(spark, bars.limit(0), path) == 0
 
 
+@pytest.mark.parametrize("first", [True, False])
+def test_upsert_leaves_one_row_of_a_key(spark, sf_dir, tmp_path, first):
+    path = str(tmp_path / "ohlcv")
+    one = fx.walk_bars(spark, sf_dir).limit(1).withColumns({"exchange": F.lit("x"), "timeframe": F.lit("1d"), "at": F.lit(1)}).persist()
+    twice = one.withColumn("close", F.lit(1.0)).unionByName(one.withColumns({"close": F.lit(0.5), "at": F.lit(2)}))
+    if not first:
+        io.upsert(spark, one, path)
+    io.upsert(spark, twice, path, order="at")
+    assert [r.close for r in io.read_table(spark, path, one).collect()] == [0.5]
+
+
 def test_tables_and_exports(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS barloom_t LOCATION '{tmp_path}/db'")
     assert io.create_tables(spark, "barloom_t") == list(TABLES)
@@ -45,9 +55,9 @@ def test_tables_and_exports(spark, tmp_path):
     spark.sql("DROP DATABASE barloom_t CASCADE")
     m = spark.createDataFrame([("X", 1.5, 3)], "symbol string, sharpe double, n_trades long")
     io.write_metrics(m, str(tmp_path / "m"), ["symbol"], "1d")
-    part = next(f for f in os.listdir(tmp_path / "m") if f.endswith(".json"))
-    assert json.loads(open(tmp_path / "m" / part).read()) == {
-        "symbol": "X", "timeframe": "1d", "metrics": {"sharpe": 1.5, "n_trades": 3}, "n_trades": 3}
+    lines = [line.value for line in spark.read.text(str(tmp_path / "m")).collect()]
+    assert [json.loads(line) for line in lines] == [
+        {"symbol": "X", "timeframe": "1d", "metrics": {"sharpe": 1.5, "n_trades": 3}, "n_trades": 3}]
     io.write_trades(m, str(tmp_path / "t"))
     assert spark.read.option("header", True).csv(str(tmp_path / "t")).columns == m.columns
     report = spark.createDataFrame([("X", 5, 1, 0, 0, True)], "symbol string, n_candles long, n_gaps long, n_duplicates long, n_anomalies long, passed boolean")
