@@ -13,13 +13,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import ascii_lower, broadcast_if, materialised, written
+from barloom.llm.shared import ascii_lower, broadcast_if, written
 
 DAMPING, ROUNDS, TOLERANCE, EVERY = 0.85, 40, 1e-4, 5
 #: Weight of the tie between a host and its parent domain, in links.
 TIE = 1.0
+#: Edges and scores a task of a round handles, about.
+EDGES_PER_FILE = 1_000_000
 #: Rules up to this number are broadcast (some 100 bytes each).
 BROADCAST_RULES = 100_000
+#: Hosts with what is known of them are broadcast up to this number (some 200 bytes each); beyond, the join is shuffled and hot hosts are split.
+BROADCAST_HOSTS = 100_000
 LINK = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -69,29 +73,28 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, tolerance:
     ``seeds`` has ``host, kind, seed``: kind ``trust`` follows the edges, ``distrust``
     goes against them. Seeds of a kind are scaled to a sum of 1. What reaches a
     host without further edges is not passed on. Stops when a round changes less
-    than ``tolerance`` in all, looked at every few rounds.
+    than ``tolerance`` in all, looked at every few rounds. A round is one shuffle of
+    what the hosts pass on, summed before it; its scores are written, so the next
+    round's join knows their size.
     """
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "weight").union(
         edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "weight"))
     out = both.groupBy("kind", "host").agg(F.sum("weight").alias("all"))
     both = written(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("all")).alias("share")), "url-edges")
+    files = max(edges.sparkSession.sparkContext.defaultParallelism, both.count() // EDGES_PER_FILE)
     total = seeds.groupBy("kind").agg(F.sum("seed").alias("total"))
-    base = materialised(seeds.join(F.broadcast(total), "kind").where("seed > 0")  # two rows
-                        .select("host", "kind", ((1 - DAMPING) * F.col("seed") / F.col("total")).alias("score")))
-    score = base
+    base = written(seeds.join(F.broadcast(total), "kind").where("seed > 0")  # two rows
+                   .select("host", "kind", ((1 - DAMPING) * F.col("seed") / F.col("total")).alias("score")).coalesce(files), "url-seeds")
+    score, before = base, None
     for i in range(1, rounds + 1):
-        passed = (both.join(score, ["kind", "host"])
-                  .groupBy("kind", F.col("to").alias("host")).agg(F.sum(DAMPING * F.col("share") * F.col("score")).alias("score")))
-        new = passed.select("host", "kind", "score").union(base).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        if i % EVERY and i < rounds:
-            score = new
+        passed = both.join(score, ["kind", "host"]).select(F.col("to").alias("host"), "kind", (DAMPING * F.col("share") * F.col("score")).alias("score"))
+        score = written(passed.union(base).groupBy("host", "kind").agg(F.sum("score").alias("score")).coalesce(files), "url-scores")
+        if (i + 1) % EVERY and i % EVERY:
             continue
-        new = materialised(new)
-        change = (new.join(materialised(score).withColumnRenamed("score", "old"), ["host", "kind"], "left")
-                  .agg(F.sum(F.col("score") - F.coalesce("old", F.lit(0.0)))).first()[0])
-        score = new
-        if change is None or change < tolerance:  # scores only grow
+        now = score.agg(F.sum("score")).first()[0]
+        if now is None or (i % EVERY == 0 and now - before < tolerance):  # scores only grow
             break
+        before = now
     return score
 
 
@@ -109,15 +112,15 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """
     source = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     source = source.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    hosts = materialised(source.groupBy("host").count())
-    fits = materialised(host_rules(hosts, rules))
+    hosts = written(source.groupBy("host").count(), "url-hosts")
+    fits = written(host_rules(hosts, rules), "url-fits")
     best = F.array_max(F.filter("fits", lambda f: F.col("path").startswith(f["path"])))
-    ruled = source.join(fits, "host", "left").withColumn("best", best)
+    ruled = source.join(broadcast_if(fits, BROADCAST_HOSTS), "host", "left").withColumn("best", best)
     share = lambda verdict: F.sum((F.col("best.verdict") == verdict).cast("long"))
     seeds = ruled.drop("html").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"), F.count("*").alias("n"))
     seeds = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust") / F.col("n"), F.lit("distrust"), F.col("distrust") / F.col("n")))
                          .alias("kind", "seed")).where("seed > 0")
-    score = spread(host_edges(source, hosts), materialised(seeds))
+    score = spread(written(host_edges(source, hosts), "url-graph"), written(seeds, "url-shares"))
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     known = score.groupBy("host").agg(of("trust"), of("distrust"))
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
@@ -125,6 +128,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     method = F.when((against > 0) & (against > threshold * (distrust + trust)), "block").otherwise("allow")
     table = hosts.join(known, "host", "left").join(fits, "host", "left").select(
         "host", "fits", trust.alias("trust"), distrust.alias("distrust"), method.alias("method"))
+    table = broadcast_if(written(table, "url-judged"), BROADCAST_HOSTS)
     return source.drop("html").join(table, "host", "left").withColumn("best", best).select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", "method").alias("verdict"),
         "trust", "distrust")
