@@ -402,7 +402,7 @@ def trade_bootstrap(spark, sf_dir):
 def block_bootstrap(spark, sf_dir):
     s = walk_series(spark, sf_dir)
     s = ind.returns(s).with_columns({"ret": F.col("simple_ret")})
-    return resample.block_bootstrap(s, n_sims=200).select("symbol", "sim", F.round("terminal", 6).alias("terminal"))
+    return resample.block_bootstrap(s, n_sims=1000).select("symbol", "sim", F.round("terminal", 6).alias("terminal"))
 
 
 SWEEP_TRIALS = 4
@@ -480,8 +480,7 @@ def portfolio_metrics(spark, sf_dir):
 
 @query
 def strategy_leaderboard(spark, sf_dir):
-    names = ["momentum_breakout", "mean_reversion", "breakout_rr"]
-    board = validation.leaderboard(lambda halo: walk_series(spark, sf_dir, halo), names, ("symbol",))
+    board = validation.leaderboard(lambda halo: walk_series(spark, sf_dir, halo), signals.list_strategies(), ("symbol",))
     return board.groupBy("strategy").agg(
         F.round(F.avg("sharpe"), 6).alias("mean_sharpe"), F.round(F.avg("total_return"), 6).alias("mean_return"),
         F.round(F.min("max_drawdown"), 6).alias("worst_drawdown"), F.sum("n_trades").alias("n_trades"))

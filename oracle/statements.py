@@ -209,7 +209,7 @@ ORACLE["trade_bootstrap"] = f"""{MOMENTUM},
     round(coalesce(terminal_p95, 10000), 6) AS terminal_p95
   FROM (SELECT DISTINCT symbol FROM sg) b LEFT JOIN st USING (symbol)"""
 
-_blocks = "SELECT c.symbol, c.n, s.sim, d.b FROM cnt c, range(200) s(sim), range(cast(ceil(c.n / 20.0) AS bigint)) d(b)"
+_blocks = "SELECT c.symbol, c.n, s.sim, d.b FROM cnt c, range(1000) s(sim), range(cast(ceil(c.n / 20.0) AS bigint)) d(b)"
 ORACLE["block_bootstrap"] = f"""WITH nb AS MATERIALIZED ({sql.numbered()}),
   rt AS MATERIALIZED (SELECT symbol, i - 1 AS t, ln(close / pclose) AS lr FROM nb WHERE i >= 1),
   cnt AS (SELECT symbol, count(*) AS n FROM rt GROUP BY 1 HAVING count(*) >= 40),
@@ -285,7 +285,7 @@ ORACLE["strategy_leaderboard"] = " UNION ALL ".join(
     f"""SELECT * FROM (WITH RECURSIVE {sql.signals_cte(s_)}, {sql.trades_cte()}, {sql.EQ}, mt AS ({sql.metrics_of('eq')})
     SELECT '{s_}' AS strategy, round(avg(sharpe), 6) AS mean_sharpe, round(avg(total_return), 6) AS mean_return,
            round(min(max_drawdown), 6) AS worst_drawdown, cast(sum(n_trades) AS bigint) AS n_trades FROM mt)"""
-    for s_ in ("momentum_breakout", "mean_reversion", "breakout_rr"))
+    for s_ in ("trend_following", "momentum_breakout", "mean_reversion", "regime_adaptive", "breakout_rr"))
 
 # --- risk and ledger ---------------------------------------------------------------
 
