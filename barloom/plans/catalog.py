@@ -353,6 +353,13 @@ def metrics_printed(spark, sf_dir):
         "symbol", F.col("line").cast("long").alias("line"), "metric", "value")
 
 
+@query
+def metrics_printed_full(spark, sf_dir):
+    """The printed table with all its labels (`metrics_printed`, which has SQL, shows three)."""
+    m = metrics.summarize(trades.backtest(signals_of(spark, sf_dir, "momentum_breakout"))[1], by=["symbol"])
+    return metrics.metrics_table(m, ["symbol"]).select("symbol", F.col("line").cast("long").alias("line"), "metric", "value")
+
+
 # --- validation, resampling, sweeps --------------------------------------------------
 
 @query
@@ -405,27 +412,45 @@ def block_bootstrap(spark, sf_dir):
     return resample.block_bootstrap(s, n_sims=1000).select("symbol", "sim", F.round("terminal", 6).alias("terminal"))
 
 
-SWEEP_TRIALS = 4
+#: Trials of `sweep_trials` and `sweep_best`, as many as their SQL has; of the full sweeps, as many as the reference draws.
+SWEEP_TRIALS, FULL_TRIALS = 4, 60
 
 
-def _trials(spark, sf_dir):
-    sets = sweep.draw_parameters("momentum_breakout", SWEEP_TRIALS)
+def _trials(spark, sf_dir, n=SWEEP_TRIALS):
+    sets = sweep.draw_parameters("momentum_breakout", n)
     return sweep.trials(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout", sets,
                         sweep.Objective(min_trades=3))
 
 
+def _shown_trials(trials):
+    names = [f"{s}_{m}" for s in ("is", "oos") for m in ("sharpe", "cagr", "max_drawdown", "n_trades")]
+    return trials.select("symbol", F.col("param_id").cast("long").alias("param_id"), *[F.round(n, 6).alias(n) for n in names],
+                         F.round(F.nullif("score", F.lit(float("-inf"))), 6).alias("score"))
+
+
+def _shown_best(trials):
+    return sweep.best_trial(trials, ["symbol"]).select(
+        "symbol", F.col("param_id").cast("long").alias("param_id"), F.round("score", 6).alias("score"), "n_trials")
+
+
 @query
 def sweep_trials(spark, sf_dir):
-    names = [f"{s}_{m}" for s in ("is", "oos") for m in ("sharpe", "cagr", "max_drawdown", "n_trades")]
-    return _trials(spark, sf_dir).select("symbol", F.col("param_id").cast("long").alias("param_id"),
-                                         *[F.round(n, 6).alias(n) for n in names],
-                                         F.round(F.nullif("score", F.lit(float("-inf"))), 6).alias("score"))
+    return _shown_trials(_trials(spark, sf_dir))
 
 
 @query
 def sweep_best(spark, sf_dir):
-    return sweep.best_trial(_trials(spark, sf_dir), ["symbol"]).select(
-        "symbol", F.col("param_id").cast("long").alias("param_id"), F.round("score", 6).alias("score"), "n_trials")
+    return _shown_best(_trials(spark, sf_dir))
+
+
+@query
+def sweep_trials_full(spark, sf_dir):
+    return _shown_trials(_trials(spark, sf_dir, FULL_TRIALS))
+
+
+@query
+def sweep_best_full(spark, sf_dir):
+    return _shown_best(_trials(spark, sf_dir, FULL_TRIALS))
 
 
 def _sensitivity(spark, sf_dir):

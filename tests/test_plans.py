@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import folds, layout, ledger, metrics, quality, risk, signals, trades
-from barloom.plans import resample, segments, sweep, validation
+from barloom.plans import catalog, resample, segments, sweep, validation
 from barloom.sources import fixtures as fx
 
 SMALL = 256
@@ -203,3 +203,21 @@ def test_close_based_fold_over_blocks(bars):
         out.append(folds.fold(s, trades.close_step, functools.partial(trades.close_start, 10_000.0), trades.CLOSE_INPUTS, trades.CLOSE_OUTPUT, trades.CLOSE_STATE))
     same(*out, ["symbol", "ts"])
 
+
+
+def test_full_sweep_and_full_printed_table(spark, sf_dir):
+    """60 trials a symbol, the best of them by plain search, the first ones as in the small sweep; all printed labels."""
+    trials = catalog.QUERIES["sweep_trials_full"](spark, sf_dir).collect()
+    best = {r.symbol: r for r in catalog.QUERIES["sweep_best_full"](spark, sf_dir).collect()}
+    symbols = {r.symbol for r in trials}
+    assert best.keys() == symbols and sorted((r.symbol, r.param_id) for r in trials) == sorted((s, i) for s in symbols for i in range(60))
+    for s in symbols:
+        top = min(((-r.score, r.param_id) for r in trials if r.symbol == s and r.score is not None), default=(0.0, None))
+        assert (-best[s].score, best[s].param_id, best[s].n_trials) == (*top, 60)
+    sets = sweep.draw_parameters("momentum_breakout", 60)
+    assert sets[:4] == sweep.draw_parameters("momentum_breakout", 4)
+    small = {(r.symbol, r.param_id): r.score for r in catalog.QUERIES["sweep_trials"](spark, sf_dir).collect()}
+    assert {(r.symbol, r.param_id): r.score for r in trials if r.param_id < 4} == small
+    table = catalog.QUERIES["metrics_printed_full"](spark, sf_dir).collect()
+    assert len(table) == 12 * len(symbols) and {r.metric for r in table} == {label for label, _, _ in metrics.LABELS}
+    assert set(catalog.QUERIES["metrics_printed"](spark, sf_dir).collect()) < set(table)
