@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, exact_dedup, extract, language, lm, near_join, packing, secrets, url_filter
+from barloom.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    extract,
+    language,
+    lm,
+    near_join,
+    packing,
+    periodic,
+    secrets,
+    url_filter,
+)
 from barloom.llm.shared import table
 
 
@@ -81,6 +93,33 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents.unionByName(pages)).select("key.*", "language", "confidence", "letters", "accepted")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; in texts whose h = crc32(doc_id) ends in 0 the words from g % n on repeat with a period (g = h // 10)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    planted = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), F.lit(1), F.col("n")), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    longer = lambda best, x: x["length"] * best["period"] > best["length"] * x["period"]
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, x: F.when(longer(best, x), x).otherwise(best))
+    line = lambda x: F.concat(x["start"], F.lit(","), x["length"], F.lit(","), x["period"], F.lit("\n"))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                        "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -92,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_chat_formatting": op9_chat_formatting,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 SQL: dict[str, str] = {
