@@ -17,6 +17,7 @@ from barloom.llm import (
     near_join,
     packing,
     periodic,
+    quality_rules,
     secrets,
     url_filter,
 )
@@ -120,6 +121,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "runs_sha256", "collapsed_sha256")
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -132,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_chat_formatting": op9_chat_formatting,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 SQL: dict[str, str] = {
