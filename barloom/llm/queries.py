@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import (
     chat,
+    chat_repair,
     decontaminate,
     exact_dedup,
     extract,
@@ -21,7 +22,7 @@ from barloom.llm import (
     secrets,
     url_filter,
 )
-from barloom.llm.shared import table
+from barloom.llm.shared import table, written
 
 
 def tokenizer(name: str) -> str:
@@ -121,6 +122,29 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "runs_sha256", "collapsed_sha256")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns by crc32(``conv_id:turn``) % 20: 0 dropped, 1 emptied, 2 without ``.!?``, 3 repeated, 4 in the role user; nulls are one space."""
+    or_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(or_space("conv_id"), F.lit(":"), or_space("turn")).cast("binary")) % 20
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate(or_space("text"), ".!?", "")).otherwise(or_space("text"))
+    rows = turns.withColumn("fate", fate).where("fate <> 0").select(
+        "conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(or_space("role")).alias("role"), text.alias("text"), "fate")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("fate") == 3).cast("int")))).drop("fate", "copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    rows = damaged(turns)
+    parsed = written(chat_repair.parse(rows), "conversation-parses")
+    hashes = chat_repair.digests(chat_repair.repair(rows, parsed)).select(F.col("conv_id").alias("of"), "repaired_sha256")
+    repaired = parsed.join(hashes, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of", "rows").withColumnRenamed("conv_id", "of")
+    every = turns.select("conv_id").distinct().join(repaired, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return every.select("conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+                        F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -137,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_chat_formatting": op9_chat_formatting,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_quality_rules": op13_quality_rules,
 }
 
