@@ -1,16 +1,31 @@
 """From signals to trades, equity and returns.
 
-Each block of one run is walked in bar order by a small function over Arrow columns;
-Spark partitions the blocks.  Runs longer than a block are walked block by block
-at once, first as if every block began without a position; a block whose true
-start differs from the assumed one is walked again, until all starts agree.
-With fractional units the traded fraction of cash does not depend on cash, so
-cash follows afterwards as a running product over the trades.
+A trade is known from its entry alone: it ends on the first bar that stops it,
+reaches its target, follows an exit signal or is the last. These ends are found for
+all wanted entries of a block at once, by lookups instead of a step per bar:
+
+* the first bar whose low is at or below the entry's own stop, and the first whose
+  high reaches its target, by descent in tables of running extremes (doubled spans);
+* for a trailing stop, each bar's last earlier bar whose stop reaches the bar's low;
+  the first bar that points at or behind the entry ends the trade;
+* the next exit signal, by a pointer per bar.
+
+An ended trade points to the next wanted entry, so the trades of a run are a chain
+of pointers. Runs longer than a block are cut. For each block a summary tells, for
+whatever position comes in, where it ends and what the chain leads to: the lows and
+highs that could end it (running records only), the first bar that ends any
+position, and, by pointer doubling, the last entry of each chain and its growth. A
+pass over the summaries in block order gives each block its true start; all blocks
+then emit their trades and bars at once. With fractional units the traded share of
+cash does not depend on cash. With whole units it does, so there a run goes through
+one task as a stream of blocks.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,259 +62,440 @@ class Account:
     allow_fractional: bool = True
 
 
-_STATE = ["mode", "s_entry_no", "s_entry_ts", "s_entry_price", "s_units", "s_stop", "s_target", "s_cash"]
-_WALK_COLUMNS = {
-    "kind": "string", "entry_no": "long", "exit_no": "long", "book_no": "long", "entry_ts": "timestamp_ntz",
-    "exit_ts": "timestamp_ntz", "entry_price": "double", "exit_price": "double", "units": "double", "reason": "string",
-    "mode": "string", "s_entry_no": "long", "s_entry_ts": "timestamp_ntz", "s_entry_price": "double",
-    "s_units": "double", "s_stop": "double", "s_target": "double", "s_cash": "double", "started_from": "string",
-    "ends_in": "string",
-}
-_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "timestamp_ntz": pa.timestamp("us")}
 _BARS = ["bar_no", "n_bars", "ts", "open", "high", "low", "close", "entry", "exit", "stop", "take_profit", "trail"]
+_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "timestamp_ntz": pa.timestamp("us"),
+          "boolean": pa.bool_(), "binary": pa.binary()}
+_TRADE = {"entry_no": "long", "exit_no": "long", "book_no": "long", "entry_ts": "timestamp_ntz", "exit_ts": "timestamp_ntz",
+          "entry_price": "double", "exit_price": "double", "qty": "double", "pnl": "double", "return": "double",
+          "reason": "string", "cash_before": "double", "cash_open": "double", "cash_after": "double"}
+_STATE = {"cash": "double", "ruined": "boolean", "before": "double", "held": "boolean", "entry_no": "long",
+          "entry_ts": "timestamp_ntz", "entry_price": "double", "qty": "double", "level": "double", "target": "double"}
+STOP, TAKE, LEAVE, END, OPEN = range(5)
+_REASON = ("stop", "take_profit", "signal", "eod")
+
+
+def spans(values: np.ndarray, extreme) -> list[np.ndarray]:
+    """Extremes of all stretches of 1, 2, 4, ... values."""
+    table = [values]
+    while 2 * (width := 1 << (len(table) - 1)) <= len(values):
+        table.append(extreme(table[-1][:-width], table[-1][width:]))
+    return table
+
+
+def first_from(table: list[np.ndarray], at: np.ndarray, passes) -> np.ndarray:
+    """First place from ``at`` on with a value that does not pass (their number: none); ``passes(span extreme, which)``."""
+    size, at = len(table[0]), at.copy()
+    for k in reversed(range(len(table))):
+        fits = np.flatnonzero(at + (1 << k) <= size)
+        at[fits[passes(table[k][at[fits]], fits)]] += 1 << k
+    return at
+
+
+def last_before(table: list[np.ndarray], end: np.ndarray, passes) -> np.ndarray:
+    """Last place before ``end`` with a value that does not pass (-1: none)."""
+    end = end.copy()
+    for k in reversed(range(len(table))):
+        fits = np.flatnonzero(end >= 1 << k)
+        end[fits[passes(table[k][end[fits] - (1 << k)], fits)]] -= 1 << k
+    return end - 1
+
+
+def span_max(table: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Largest value from ``first`` to ``last`` (-inf for empty spans)."""
+    length = last - first + 1
+    out = np.full(len(first), -np.inf)
+    level = np.zeros(len(first), np.int64)
+    level[length > 0] = np.frexp(length[length > 0].astype(float))[1] - 1
+    for k in np.unique(level[length > 0]):
+        of = np.flatnonzero((length > 0) & (level == k))
+        out[of] = np.maximum(table[k][first[of]], table[k][last[of] - (1 << k) + 1])
+    return out
 
 
-@dataclass
-class _Position:
-    """Where a run stands between two bars: flat, armed (entry next), long, leaving (exit next)."""
-
-    mode: str = "flat"
-    entry_no: int = -1
-    entry_ts: np.datetime64 | None = None
-    entry_price: float = np.nan
-    units: float = np.nan
-    stop: float = np.nan
-    target: float = np.nan
-    cash: float = 1.0
-    rearm: bool = False
-
-    def label(self) -> str:
-        parts = [self.mode, str(int(self.rearm)), str(self.entry_no)]
-        return "|".join(parts + [float(v).hex() for v in
-                                 (self.entry_price, self.units, self.stop, self.target, self.cash)])
-
-
-def _walk(bars: pa.Table, pos: _Position, costs: Costs, account: Account) -> list[dict]:
-    """Trades closed in these bars; ``pos`` is left as it stands behind the last bar."""
-    column = {c: bars.column(c).to_numpy() for c in _BARS}
-    if np.any(np.diff(column["bar_no"]) < 0):
-        order = np.argsort(column["bar_no"])
-        column = {c: v[order] for c, v in column.items()}
-    no, ts, open_, high, low, close, enter, leave, stop, target = (
-        column[c] for c in ("bar_no", "ts", "open", "high", "low", "close", "entry", "exit", "stop", "take_profit"))
-    enter, leave = enter.astype(bool), leave.astype(bool)
-    n, trail, last = int(column["n_bars"][0]), bool(column["trail"][0]), len(no) - 1
-    wants = np.flatnonzero(enter)
-    trades: list[dict] = []
-
-    def close_out(i: int, price: float, book: int, reason: str) -> None:
-        trades.append({"kind": "trade", "entry_no": pos.entry_no, "exit_no": int(no[i]), "book_no": book,
-                       "entry_ts": pos.entry_ts, "exit_ts": ts[i], "entry_price": pos.entry_price,
-                       "exit_price": price, "units": pos.units, "reason": reason})
-        if not account.allow_fractional:
-            pos.cash += pos.units * price * (1 - costs.taker_fee)
-        pos.mode, pos.entry_no, pos.entry_ts = "flat", -1, None
-        pos.entry_price = pos.units = pos.stop = pos.target = np.nan
-
-    def arm(i: int) -> None:
-        pos.mode, pos.stop, pos.target = "armed", stop[i], target[i]
-
-    def open_at(i: int) -> None:
-        fill = open_[i] * (1 + costs.slip)
-        usable = pos.stop < fill  # False for NaN
-        units = pos.cash / fill
-        if usable:
-            units = min(pos.cash * account.risk_per_trade / (fill - pos.stop), units)
-        if not account.allow_fractional:
-            units = float(np.floor(units))
-        if not units > 0:
-            pos.mode, pos.stop, pos.target = "flat", np.nan, np.nan
-            return
-        if not account.allow_fractional:
-            pos.cash -= units * fill * (1 + costs.taker_fee)
-        pos.mode, pos.entry_no, pos.entry_ts = "long", int(no[i]), ts[i]
-        pos.entry_price, pos.units = fill, units
-        pos.stop = pos.stop if usable else np.nan
-
-    i = 0
-    while i <= last:
-        if pos.mode == "leaving":  # sold at this open; the bar before already looked for a new entry
-            again, next_stop, next_target = pos.rearm, pos.stop, pos.target
-            close_out(i, open_[i] * (1 - costs.slip), int(no[i]) - 1, "signal")
-            pos.rearm = False
-            if again:
-                pos.mode, pos.stop, pos.target = "armed", next_stop, next_target
-        if pos.mode == "flat":  # jump to the next wanted entry
-            at = np.searchsorted(wants, i)
-            if at == len(wants):
-                return trades
-            i = int(wants[at])
-            if no[i] + costs.latency < n:
-                arm(i)
-            i += 1
-            continue
-        if pos.mode == "armed":
-            open_at(i)
-        if pos.mode == "long":
-            if trail and stop[i] == stop[i]:
-                pos.stop = stop[i] if pos.stop != pos.stop else max(pos.stop, stop[i])
-            if low[i] <= pos.stop:
-                close_out(i, min(open_[i], pos.stop) * (1 - costs.slip), int(no[i]), "stop")
-            elif high[i] >= pos.target:
-                close_out(i, max(open_[i], pos.target) * (1 - costs.slip), int(no[i]), "take_profit")
-            elif no[i] + 1 < n and leave[i]:
-                pos.mode, pos.rearm = "leaving", bool(enter[i]) and no[i] + costs.latency < n
-                if pos.rearm:
-                    pos.stop, pos.target = stop[i], target[i]
-            elif no[i] + 1 == n:
-                close_out(i, close[i] * (1 - costs.slip), int(no[i]), "eod")
-        if pos.mode == "flat":  # stopped, taken or not filled: this bar may ask for a new entry
-            if enter[i] and no[i] + costs.latency < n:
-                arm(i)
-        i += 1
-    return trades
-
-
-
-def _state_row(pos: _Position, started_from: str) -> dict:
-    return {"kind": "state", "mode": pos.mode + ("+" if pos.rearm else ""), "s_entry_no": pos.entry_no,
-            "s_entry_ts": pos.entry_ts, "s_entry_price": pos.entry_price, "s_units": pos.units, "s_stop": pos.stop,
-            "s_target": pos.target, "s_cash": pos.cash, "started_from": started_from, "ends_in": pos.label()}
-
-
-def _position_of(row: dict) -> _Position:
-    at = row["s_entry_ts"]
-    return _Position(row["mode"].rstrip("+"), row["s_entry_no"], None if at is None else np.datetime64(at, "us"),
-                     *(row[c] for c in ("s_entry_price", "s_units", "s_stop", "s_target", "s_cash")),
-                     rearm=row["mode"].endswith("+"))
-
-
-def _walker(group: list[str], costs: Costs, account: Account):
-    start_cash = 1.0 if account.allow_fractional else account.initial_cash
-
-    def walk_from(key: tuple, bars: pa.Table, pos: _Position) -> pa.Table:
-        started = pos.label()
-        rows = _walk(bars, pos, costs, account)
-        rows.append(_state_row(pos, started))
-        columns = {g: pa.array([k.as_py()] * len(rows), type=k.type) for g, k in zip(group, key)}
-        for c, kind in _WALK_COLUMNS.items():
-            columns[c] = pa.array([r.get(c) for r in rows], type=_ARROW[kind])
-        return pa.table(columns)
-
-    def from_flat(key, bars):
-        return walk_from(key, bars, _Position(cash=start_cash))
-
-    def from_state(key, bars, state):
-        # Both sides hold exactly the blocks to walk again.
-        return walk_from(key, bars, _position_of(state.to_pylist()[0]))
-
-    return from_flat, from_state
-
-
-def _misplaced(states: DataFrame, keys: list[str]) -> DataFrame:
-    """Start states of the blocks whose assumed start is not where the block before ended."""
-    ends = states.select(*keys, (F.col("blk") + 1).alias("blk"), *_STATE, F.col("ends_in").alias("_true"))
-    return (layout.join_on(ends, states.select(*keys, "blk", "started_from"), [*keys, "blk"])
-            .filter(F.col("started_from") != F.col("_true")).drop("started_from", "_true"))
-
-
-def walk_runs(signals: Series, costs: Costs = Costs(), account: Account = Account()) -> DataFrame:
-    """Closed trades of every run: one row per trade, with ``units``.
-
-    ``units`` is the traded quantity per unit of cash before the entry, or the
-    quantity itself if only whole units may be traded.
-    """
-    keys, group = list(signals.keys), signals.group
-    bars = signals.select("blk", *_BARS).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    bars = bars.withColumns({c: F.col(c).cast("double") for c in ("open", "high", "low", "close")})
-    schema = ", ".join([f"`{c}` {bars.schema[c].dataType.simpleString()}" for c in group]
-                       + [f"{c} {kind}" for c, kind in _WALK_COLUMNS.items()])
-    from_flat, from_state = _walker(group, costs, account)
-    walked = bars.groupBy(*group).applyInArrow(from_flat, schema)
-    if signals.multi:
-        walked = cut_lineage(walked)
-        while True:
-            starts = cut_lineage(_misplaced(walked.filter("kind = 'state'"), keys))
-            if starts.isEmpty():
-                break
-            redo = layout.join_on(bars, starts.select(*group), group, "left_semi")
-            again = redo.groupBy(*group).cogroup(starts.groupBy(*group)).applyInArrow(from_state, schema)
-            walked = cut_lineage(layout.join_on(walked, starts.select(*group), group, "left_anti").unionByName(again))
-    return walked.filter("kind = 'trade'").select(
-        *keys, "entry_no", "exit_no", "book_no", "entry_ts", "exit_ts", "entry_price", "exit_price", "units", "reason")
-
-
-def _trade_series(trades: DataFrame, signals: Series) -> Series:
-    home = F.floor(F.col("entry_no") / signals.block).cast("long")
-    df = trades.withColumns({"blk": home, "sub": F.lit(0).cast("long"), "bar_no": F.col("entry_no"),
-                             "core": F.lit(True)})
-    return Series(df, signals.keys, signals.block, signals.longest)
+@dataclass(frozen=True)
+class Position:
+    """A position that comes into a block: entered at ``entry_no``, with its stop level and target."""
 
+    entry_no: int
+    entry_ts: np.datetime64
+    entry_price: float
+    qty: float
+    level: float
+    target: float
 
-def book(trades: DataFrame, signals: Series, costs: Costs = Costs(), account: Account = Account()) -> DataFrame:
-    """Blotter with quantities and cash: adds qty, pnl, return, cash_before, cash_open, cash_after.
 
-    pnl leaves fees out and includes slippage.  A run whose cash is used up
-    opens no further position.
-    """
-    s = _trade_series(trades, signals)
-    paid = F.col("entry_price") * (1 + costs.taker_fee)
-    got = F.col("exit_price") * (1 - costs.taker_fee)
-    if account.allow_fractional:
-        s = s.with_columns({"_g": 1.0 + F.col("units") * (got - paid)})
-        s = layout.running(s, {
-            "_lng": ("sum", F.when(F.col("_g") > 0, F.ln("_g"))),
-            "_ruined": ("sum", F.when(F.col("_g") > 0, 0).otherwise(1)),
-        })
-        start = F.lit(account.initial_cash) * F.exp(
-            F.coalesce(F.col("_lng"), F.lit(0.0)) - F.when(F.col("_g") > 0, F.ln("_g")).otherwise(0.0))
-        df = s.df.filter((F.col("_ruined") == 0) | ((F.col("_ruined") == 1) & (F.col("_g") <= 0)))
-        df = df.withColumn("cash_before", start).withColumn("qty", F.col("units") * F.col("cash_before"))
+@dataclass(frozen=True)
+class State:
+    """How a run stands before a block: cash (without the position), equity of the bar before, position."""
+
+    cash: float
+    before: float = np.nan
+    ruined: bool = False
+    position: Position | None = None
+
+
+class Block:
+    """The bars of one block and the ends of all its wanted entries."""
+
+    def __init__(self, bars: pa.Table, costs: Costs, account: Account):
+        column = {c: bars.column(c).to_numpy() for c in _BARS}
+        self.order = None
+        if np.any(np.diff(column["bar_no"]) < 0):
+            self.order = np.argsort(column["bar_no"])
+            column = {c: v[self.order] for c, v in column.items()}
+        self.costs, self.account = costs, account
+        self.no, self.ts, self.open, self.close, self.stop = (column[c] for c in ("bar_no", "ts", "open", "close", "stop"))
+        n, self.size, self.trail = int(column["n_bars"][0]), len(self.no), bool(column["trail"][0])
+        edge = bars.column("next_open")[0].as_py(), bars.column("next_ts")[0].as_py()
+        self.next_open = np.append(self.open[1:], np.nan if edge[0] is None else edge[0])
+        self.next_ts = np.append(self.ts[1:], np.datetime64("NaT") if edge[1] is None else np.datetime64(edge[1], "us"))
+        self.last = int(self.no[-1]) + 1 == n
+        self.lows = np.where(np.isnan(column["low"]), np.inf, column["low"])
+        self.highs = np.where(np.isnan(column["high"]), -np.inf, column["high"])
+        self.low_spans, self.high_spans = spans(self.lows, np.minimum), spans(self.highs, np.maximum)
+        self.stop_spans = spans(np.where(np.isnan(self.stop), -np.inf, self.stop), np.maximum)
+        places = np.arange(self.size)
+        none = np.full(self.size + 1, self.size)
+        self.leaves, self.trailed = none.copy(), none.copy()
+        out = np.flatnonzero(column["exit"].astype(bool) & (self.no + 1 < n))
+        self.leaves[out] = out
+        self.leaves = np.minimum.accumulate(self.leaves[::-1])[::-1]
+        if self.trail:
+            reached = last_before(self.stop_spans, places + 1, lambda level, j: level < self.lows[j])
+            hit = np.flatnonzero(reached >= 0)[::-1]
+            self.trailed[reached[hit]] = hit  # the first bar that points there
+            self.trailed = np.minimum.accumulate(self.trailed[::-1])[::-1]
+        # Wanted entries: signal bar, price, own stop (if below the price), target, units for one of cash.
+        wanted = np.flatnonzero(column["entry"].astype(bool) & (self.no + costs.latency < n))
+        fill = self.next_open[wanted] * (1 + costs.slip)
+        self.at, self.fill = wanted[fill > 0], fill[fill > 0]
+        own = self.stop[self.at]
+        self.level = np.where(own < self.fill, own, -np.inf)
+        target = column["take_profit"][self.at]
+        self.target = np.where(np.isnan(target), np.inf, target)
+        self.units = np.minimum(account.risk_per_trade / (self.fill - self.level), 1 / self.fill)
+        self.units[np.isinf(self.level)] = 1 / self.fill[np.isinf(self.level)]
+        self.end, self.kind, self.reached, self.price = self.ends(self.at + 1, self.level, self.target)
+
+    def ends(self, start: np.ndarray, level: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where positions held from ``start`` end: bar, kind, stop level then, price."""
+        stopped = np.minimum(first_from(self.low_spans, start, lambda low, i: low > level[i]), self.trailed[start])
+        taken = first_from(self.high_spans, start, lambda high, i: high < target[i])
+        last = np.full(len(start), self.size - 1 if self.last else self.size)
+        ways = np.stack([stopped, taken, self.leaves[start], last])
+        kind = ways.argmin(axis=0)
+        end = ways.min(axis=0)
+        kind[end >= self.size] = OPEN
+        if self.trail:
+            level = np.maximum(level, span_max(self.stop_spans, start, np.minimum(end, self.size - 1)))
+        on = np.minimum(end, self.size - 1)
+        price = np.select([kind == STOP, kind == TAKE, kind == LEAVE],
+                          [np.minimum(self.open[on], level), np.maximum(self.open[on], target), self.next_open[on]], self.close[on])
+        return end, kind, level, price * (1 - self.costs.slip)
+
+    def after(self, end: np.ndarray | int) -> np.ndarray | int:
+        """The wanted entry that follows an end on this bar."""
+        return np.searchsorted(self.at, end)
+
+    def emit(self, state: State) -> tuple[list[dict], State]:
+        """Trades that end in this block, and the state behind it."""
+        fee, whole = self.costs.taker_fee, not self.account.allow_fractional
+        cash, ruined, held, trades = state.cash, state.ruined, state.position, []
+        following = self.after(self.end).tolist()
+        ends, kinds, prices = self.end.tolist(), self.kind.tolist(), self.price.tolist()
+        if held is not None:
+            end, kind, reached, price = (v[0] for v in self.ends(np.array([0]), np.array([held.level]), np.array([held.target])))
+            if kind == OPEN:
+                return trades, self._behind(cash, ruined, replace(held, level=float(reached)))
+            cash, ruined = self._close(trades, held, cash, int(end), int(kind), float(price))
+            at = int(self.after(int(end)))
+        else:
+            at = 0
+        while at < len(self.at) and not ruined:
+            fill, level = float(self.fill[at]), float(self.level[at])
+            if whole:
+                qty = float(np.floor(min(cash * self.account.risk_per_trade / (fill - level) if np.isfinite(level) else np.inf, cash / fill)))
+            else:
+                qty = cash * float(self.units[at])
+            if not qty > 0:
+                at += 1
+                continue
+            i = int(self.at[at])
+            held = Position(int(self.no[i]) + 1, self.next_ts[i], fill, qty, level, float(self.target[at]))
+            cash -= qty * fill * (1 + fee)
+            if kinds[at] == OPEN:
+                return trades, self._behind(cash, ruined, replace(held, level=float(self.reached[at])))
+            cash, ruined = self._close(trades, held, cash, ends[at], kinds[at], prices[at])
+            at = following[at]
+        return trades, self._behind(cash, ruined, None)
+
+    def _close(self, trades: list[dict], held: Position, cash: float, end: int, kind: int, price: float) -> tuple[float, bool]:
+        paid = held.qty * held.entry_price * (1 + self.costs.taker_fee)
+        after = cash + held.qty * price * (1 - self.costs.taker_fee)
+        leaves = kind == LEAVE
+        trades.append({
+            "entry_no": held.entry_no, "exit_no": int(self.no[end]) + leaves, "book_no": int(self.no[end]), "entry_ts": held.entry_ts,
+            "exit_ts": self.next_ts[end] if leaves else self.ts[end], "entry_price": held.entry_price, "exit_price": price,
+            "qty": held.qty, "pnl": (price - held.entry_price) * held.qty, "return": price / held.entry_price - 1.0,
+            "reason": _REASON[kind], "cash_before": cash + paid, "cash_open": cash, "cash_after": after})
+        return after, not after > 0
+
+    def _behind(self, cash: float, ruined: bool, held: Position | None) -> State:
+        if held is None:
+            return State(cash, cash, ruined)
+        if held.entry_no > int(self.no[-1]):  # enters on the next block's first bar
+            return State(cash, cash + held.qty * held.entry_price * (1 + self.costs.taker_fee), ruined, held)
+        return State(cash, cash + held.qty * float(self.close[-1]), ruined, held)
+
+    def curve(self, state: State, trades: list[dict], behind: State) -> dict[str, np.ndarray]:
+        """Equity, return and booked trade of every bar. A bar takes the entry on it or, if a trade ends on it, the exit."""
+        cash, held = np.full(self.size, np.nan), np.full(self.size, np.nan)
+        pnl, gained = np.full(self.size, np.nan), np.full(self.size, np.nan)
+        first = int(self.no[0])
+        came = state.position
+        cash[0], held[0] = state.cash, came.qty if came else 0.0
+        if came and came.entry_no >= first:
+            cash[0], held[0] = state.cash, came.qty
+        now = behind.position
+        for t in trades:
+            if t["entry_no"] >= first:
+                cash[t["entry_no"] - first], held[t["entry_no"] - first] = t["cash_open"], t["qty"]
+        if now and first <= now.entry_no <= int(self.no[-1]):
+            cash[now.entry_no - first], held[now.entry_no - first] = behind.cash, now.qty
+        for t in trades:
+            at = t["book_no"] - first
+            cash[at], held[at], pnl[at], gained[at] = t["cash_after"], 0.0, t["pnl"], t["return"]
+        known = np.maximum.accumulate(np.where(np.isnan(cash), 0, np.arange(self.size)))
+        cash, held = cash[known], held[known]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            equity = np.where(held == 0, cash, cash + held * self.close)
+            before = np.append(state.before, equity[:-1])
+            ret = np.where(before == 0, np.nan, equity / before - 1.0)
+        return {"equity": equity, "ret": ret, "pnl": pnl, "trade_return": gained}
+
+    def summary(self) -> bytes:
+        """What a position that comes in, or none, leads to in this block; for fractional units."""
+        fee, n = self.costs.taker_fee, len(self.at)
+        flat, ruined = n, n + 1
+        growth = np.ones(n + 2)
+        growth[:n] = 1 + self.units * (self.price * (1 - fee) - self.fill * (1 + fee))
+        leads = np.append(np.minimum(self.after(self.end), flat), [flat, ruined])
+        still = np.flatnonzero(self.kind == OPEN)
+        leads[still], growth[still] = still, 1.0
+        leads[:n][(growth[:n] <= 0) & (self.kind != OPEN)] = ruined
+        while True:  # each step doubles the chain that a pointer spans
+            further = leads[leads]
+            if np.array_equal(further, leads):
+                break
+            growth *= np.where(leads == np.arange(n + 2), 1.0, growth[leads])
+            leads = further
+        bars = min(int(self.trailed[0]), int(self.leaves[0]), self.size - 1)
+        lows, highs = self.lows[:bars + 1], self.highs[:bars + 1]
+        low_at = np.flatnonzero(lows < np.minimum.accumulate(np.append(np.inf, lows[:-1])))
+        high_at = np.flatnonzero(highs > np.maximum.accumulate(np.append(-np.inf, highs[:-1])))
+        sure, kind = min((int(self.trailed[0]), STOP), (int(self.leaves[0]), LEAVE), (self.size - 1 if self.last else self.size, END))
+        ends = np.unique(np.concatenate([low_at, high_at, [sure] if sure < self.size else []])).astype(int)
+        zero = np.zeros(len(ends), int)
+        lead = np.minimum(self.after(ends), flat)
+        used = np.unique(np.append(leads[lead], leads[0] if n else flat))
+        used = used[used < n]
+        opened = {int(x): (int(self.no[self.at[x]]) + 1, self.next_ts[self.at[x]], float(self.fill[x]), float(self.units[x]),
+                           float(self.reached[x]), float(self.target[x])) for x in used}
+        return pickle.dumps({
+            "first": int(self.no[0]), "last": int(self.no[-1]), "close": float(self.close[-1]), "flat": flat, "ruined": ruined,
+            "low_at": low_at, "lows": lows[low_at], "high_at": high_at, "highs": highs[high_at], "sure": (sure, kind),
+            "ends": ends, "lead": leads[lead], "growth": growth[lead], "open": self.open[ends], "next_open": self.next_open[ends],
+            "closes": self.close[ends], "trailing": span_max(self.stop_spans, zero, ends) if self.trail else zero - np.inf,
+            "start": (int(leads[0]), float(growth[0])) if n else (flat, 1.0), "opened": opened, "size": self.size,
+            "all_stops": float(self.stop_spans[0].max()) if self.trail else -np.inf})
+
+
+def _through(state: State, block: dict, costs: Costs) -> State:
+    """The state behind a block, from its summary."""
+    fee = costs.taker_fee
+    if state.ruined:
+        return replace(state, before=state.cash)
+    cash = state.cash
+    held = state.position
+    if held is None:
+        lead, growth = block["start"]
     else:
-        s = layout.running(s, {"_net": ("sum", F.col("units") * (got - paid))})
-        df = s.df.withColumn("qty", F.col("units")).withColumn(
-            "cash_before", account.initial_cash + F.col("_net") - F.col("units") * (got - paid))
-    return df.select(
-        *signals.keys, "entry_no", "exit_no", "book_no", "entry_ts", "exit_ts", "entry_price", "exit_price", "qty",
-        ((F.col("exit_price") - F.col("entry_price")) * F.col("qty")).alias("pnl"),
-        (F.col("exit_price") / F.col("entry_price") - 1.0).alias("return"), "reason",
-        "cash_before", (F.col("cash_before") - F.col("qty") * paid).alias("cash_open"),
-        (F.col("cash_before") + F.col("qty") * (got - paid)).alias("cash_after"))
-
-
-def equity(trades: DataFrame, signals: Series, account: Account = Account(), carry: tuple[str, ...] = ()) -> Series:
-    """One row per bar: equity, ret, and the pnl / trade_return of a trade booked there.
+        low = np.flatnonzero(block["lows"] <= held.level)
+        high = np.flatnonzero(block["highs"] >= held.target)
+        end, kind = min((int(block["low_at"][low[0]]) if len(low) else block["size"], STOP),
+                        (int(block["high_at"][high[0]]) if len(high) else block["size"], TAKE), block["sure"])
+        if end >= block["size"]:
+            return State(cash, cash + held.qty * block["close"], False, replace(held, level=max(held.level, block["all_stops"])))
+        at = int(np.searchsorted(block["ends"], end))
+        level = max(held.level, float(block["trailing"][at]))
+        price = {STOP: min(block["open"][at], level), TAKE: max(block["open"][at], held.target),
+                 LEAVE: block["next_open"][at], END: block["closes"][at]}[kind] * (1 - costs.slip)
+        cash += held.qty * price * (1 - fee)
+        if not cash > 0:
+            return State(cash, cash, True)
+        lead, growth = int(block["lead"][at]), float(block["growth"][at])
+    cash *= growth
+    if lead == block["ruined"]:
+        return State(cash, cash, True)
+    if lead == block["flat"]:
+        return State(cash, cash)
+    entry_no, entry_ts, fill, units, level, target = block["opened"][lead]
+    qty = cash * units
+    paid = cash - qty * fill * (1 + fee)
+    equity = cash if entry_no > block["last"] else paid + qty * block["close"]
+    return State(paid, equity, False, Position(entry_no, entry_ts, fill, qty, level, target))
+
+
+def _state_row(state: State) -> dict:
+    p = state.position
+    row = {"cash": state.cash, "ruined": state.ruined, "before": state.before, "held": p is not None}
+    return row | ({c: getattr(p, c) for c in ("entry_no", "entry_ts", "entry_price", "qty", "level", "target")} if p else {})
+
+
+def _state_of(row: dict) -> State:
+    held = Position(row["entry_no"], np.datetime64(row["entry_ts"], "us"), *(row[c] for c in ("entry_price", "qty", "level", "target"))) \
+        if row["held"] else None
+    return State(row["cash"], np.nan if row["before"] is None else row["before"], row["ruined"], held)
+
+
+def _table(key: dict[str, pa.Scalar], n: int, columns: dict[str, pa.Array]) -> pa.Table:
+    return pa.table({**{c: pa.repeat(v, n) for c, v in key.items()}, **columns})
+
+
+def _rows(kinds: dict[str, str], rows: list[dict]) -> dict[str, pa.Array]:
+    return {c: pa.array([r.get(c) for r in rows], _ARROW[kind]) for c, kind in kinds.items()}
+
+
+class _Walker:
+    """What tasks do with the bars of a block; sent with the job."""
+
+    def __init__(self, group: list[str], keys: list[str], costs: Costs, account: Account, per_bar: bool, carry: tuple[str, ...]):
+        self.group, self.keys, self.costs, self.account, self.per_bar, self.carry = group, keys, costs, account, per_bar, carry
+
+    def result(self, key: dict[str, pa.Scalar], bars: pa.Table, state: State) -> tuple[pa.Table, State]:
+        block = Block(bars, self.costs, self.account)
+        trades, behind = block.emit(state)
+        if not self.per_bar:
+            return _table(key, len(trades), _rows(_TRADE, trades)), behind
+        kept = {c: bars.column(c) if block.order is None else bars.column(c).take(pa.array(block.order))
+                for c in ("sub", "core", "bar_no", "n_bars", "ts", "close", *self.carry)}
+        made = {c: pa.array(v, from_pandas=True) for c, v in block.curve(state, trades, behind).items()}
+        return _table(key, block.size, {**kept, **made}), behind
+
+    def whole(self, key, bars):
+        return self.result(dict(zip(self.group, key)), bars, State(self.account.initial_cash))[0]
+
+    def from_state(self, key, bars, state):
+        return self.result(dict(zip(self.group, key)), bars, _state_of(state.to_pylist()[0]))[0]
+
+    def summary(self, key, bars):
+        made = Block(bars, self.costs, self.account).summary()
+        return _table(dict(zip(self.group, key)), 1, {"summary": pa.array([made], pa.binary())})
+
+    def starts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The state before every block, from summaries sorted by run and block."""
+        run, state = None, None
+        for batch in batches:
+            rows = []
+            keyed = list(zip(*(batch.column(c).to_pylist() for c in self.keys)))
+            for key, made in zip(keyed, batch.column("summary")):
+                if run is None or key != run:
+                    run, state = key, State(self.account.initial_cash)
+                rows.append(_state_row(state))
+                state = _through(state, pickle.loads(made.as_py()), self.costs)
+            columns = {**{c: batch.column(c) for c in self.group}, **_rows(_STATE, rows)}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    def stream(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs as streams of bars sorted by run and bar: one block is held at a time."""
+        run, state, waiting = None, None, []
+
+        def done():
+            nonlocal run, state, waiting
+            bars, waiting = pa.concat_tables(waiting), []
+            at = {c: bars.column(c)[0] for c in self.group}
+            key = tuple(at[c].as_py() for c in self.keys)
+            if run is None or key != run:
+                run, state = key, State(self.account.initial_cash)
+            table, state = self.result(at, bars, state)
+            return table.combine_chunks().to_batches()
+
+        block = None
+        for batch in batches:
+            places = list(zip(*(batch.column(c).to_pylist() for c in self.group)))
+            edges = [0, *(i for i in range(1, len(places)) if places[i] != places[i - 1]), len(places)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if waiting and places[a] != block:
+                    yield from done()
+                block = places[a]
+                waiting.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+        if waiting:
+            yield from done()
+
+
+def _inputs(signals: Series, carry: tuple[str, ...] = ()) -> DataFrame:
+    bars = signals.select("blk", "sub", "core", *_BARS, *carry).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    bars = bars.withColumns({c: F.col(c).cast("double") for c in ("open", "high", "low", "close", "stop", "take_profit")})
+    if not signals.multi:
+        return bars.withColumns({"next_open": F.lit(None).cast("double"), "next_ts": F.lit(None).cast("timestamp_ntz")})
+    heads = bars.filter(F.col("bar_no") % signals.block == 0).select(
+        *signals.keys, (F.col("blk") - 1).alias("blk"), F.col("open").alias("next_open"), F.col("ts").alias("next_ts"))
+    return layout.join_on(bars, heads, signals.group, "left")
+
+
+def _starts(bars: DataFrame, signals: Series, costs: Costs, account: Account) -> DataFrame:
+    """State before every block of long runs with fractional units."""
+    walker = _Walker(signals.group, list(signals.keys), costs, account, False, ())
+    key = ", ".join(f"`{c}` {bars.schema[c].dataType.simpleString()}" for c in signals.group)
+    summaries = bars.groupBy(*signals.group).applyInArrow(lambda key, bars: walker.summary(key, bars), f"{key}, summary binary")
+    ordered = summaries.repartition(*signals.keys).sortWithinPartitions(*signals.group)
+    return cut_lineage(ordered.mapInArrow(walker.starts, key + "".join(f", {c} {k}" for c, k in _STATE.items())))
+
+
+def _walked(bars: DataFrame, starts: DataFrame | None, signals: Series, costs: Costs, account: Account, per_bar: bool,
+            carry: tuple[str, ...] = ()) -> DataFrame:
+    walker = _Walker(signals.group, list(signals.keys), costs, account, per_bar, carry)
+    typed = lambda names: [f"`{c}` {bars.schema[c].dataType.simpleString()}" for c in names]
+    made = {"equity": "double", "ret": "double", "pnl": "double", "trade_return": "double"} if per_bar else _TRADE
+    kept = ("sub", "core", "bar_no", "n_bars", "ts", "close", *carry) if per_bar else ()
+    schema = ", ".join(typed(signals.group) + typed(kept) + [f"`{c}` {k}" for c, k in made.items()])
+    if not signals.multi:
+        return bars.groupBy(*signals.group).applyInArrow(lambda key, bars: walker.whole(key, bars), schema)
+    if starts is None:
+        return bars.repartition(*signals.keys).sortWithinPartitions(*signals.group, "bar_no").mapInArrow(walker.stream, schema)
+    return bars.groupBy(*signals.group).cogroup(starts.groupBy(*signals.group)).applyInArrow(
+        lambda key, bars, state: walker.from_state(key, bars, state), schema)
 
-    ``carry`` names further columns of the signals to keep.
 
-    A bar takes the entry booked on it or, if a trade ends on it, the exit.
+def backtest(signals: Series, costs: Costs = Costs(), account: Account = Account(),
+             carry: tuple[str, ...] = ()) -> tuple[DataFrame, Series]:
+    """(blotter, equity series) of every run.
+
+    The blotter has a row per trade: numbers, times and prices of entry and exit,
+    qty, pnl (with slippage, without fees), return, reason, and cash before, while
+    and after. The series has a row per bar: equity, ret, and pnl and trade_return
+    of a trade booked there; ``carry`` names further columns of the signals to
+    keep. Each is one pass over the signals. A run whose cash is used up opens no
+    further position. Signals at a missing or non-positive price are not filled.
     """
-    home = F.floor(F.col("bar_no") / signals.block).cast("long")
-    entered = F.when(F.col("entry_no") < F.col("book_no"), F.struct(
-        F.col("entry_no").alias("bar_no"), F.col("cash_open").alias("cash"), F.col("qty").alias("held"),
-        F.lit(None).cast("double").alias("pnl"), F.lit(None).cast("double").alias("trade_return")))
-    left = F.struct(
-        F.col("book_no").alias("bar_no"), F.col("cash_after").alias("cash"), F.lit(0.0).alias("held"),
-        F.col("pnl"), F.col("return").alias("trade_return"))
-    events = (trades.select(*signals.keys, F.explode(F.array(left, entered)).alias("_e")).filter("_e IS NOT NULL")
-              .select(*signals.keys, "_e.*").withColumn("blk", home))
-    bars = signals.using(signals.select("blk", "sub", "core", "bar_no", "n_bars", "ts", "close", *carry))
-    joined = bars.using(layout.join_on(bars.df, events, [*signals.group, "bar_no"], "left"))
-    s = layout.running(layout.settle(joined), {"cash": ("last", F.col("cash")), "held": ("last", F.col("held"))})
-    value = F.coalesce(F.col("cash"), F.lit(account.initial_cash)) + F.coalesce(F.col("held"), F.lit(0.0)) * F.col("close")
-    s = s.with_columns({"equity": F.when(F.coalesce(F.col("held"), F.lit(0.0)) == 0,
-                                         F.coalesce(F.col("cash"), F.lit(account.initial_cash))).otherwise(value)})
-    s = layout.previous(s, {"_before": "equity"})
-    s = s.with_columns({"ret": F.col("equity") / F.nullif(F.col("_before"), F.lit(0.0)) - 1.0})
-    return layout.settle(s.using(s.df.drop("_before", "cash", "held")))
+    bars, starts = _inputs(signals, carry), None
+    if signals.multi:
+        bars = cut_lineage(bars)
+        starts = _starts(bars, signals, costs, account) if account.allow_fractional else None
+    curve = _walked(bars, starts, signals, costs, account, True, carry)
+    series = Series(curve, signals.keys, signals.block, signals.longest)
+    return _walked(bars, starts, signals, costs, account, False).drop("blk"), layout.settle(series)
 
 
-def backtest(signals: Series, costs: Costs = Costs(), account: Account = Account(),
-             carry: tuple[str, ...] = ()) -> tuple[DataFrame, Series]:
-    """(blotter, equity series) of every run."""
-    signals = layout.settle(signals.using(signals.select("blk", "sub", "core", *_BARS, *carry)))
-    blotter = book(walk_runs(signals, costs, account), signals, costs, account)
-    return blotter, equity(blotter, signals, account, carry)
+def blotter(signals: Series, costs: Costs = Costs(), account: Account = Account()) -> DataFrame:
+    """The trades of every run, as the first result of `backtest`."""
+    bars, starts = _inputs(signals), None
+    if signals.multi:
+        bars = cut_lineage(bars)
+        starts = _starts(bars, signals, costs, account) if account.allow_fractional else None
+    return _walked(bars, starts, signals, costs, account, False).drop("blk")
 
 
 # --- close-based variant: one decision per closed bar, orders at its close -----------

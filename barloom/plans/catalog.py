@@ -303,7 +303,7 @@ def _signal_query(name):
 def _blotter_query(name):
     def run(spark, sf_dir):
         s = signals_of(spark, sf_dir, name)
-        return trades.book(trades.walk_runs(s), s).select(
+        return trades.blotter(s).select(
             "symbol", "entry_ts", "exit_ts", *rounded(entry_price="entry_price", exit_price="exit_price", qty="qty"),
             *rounded(4, pnl="pnl"), *rounded(8, trade_return="return"), "reason")
 
@@ -334,7 +334,7 @@ for _name in ("trend_following", "momentum_breakout", "mean_reversion", "regime_
 def trades_whole_units(spark, sf_dir):
     s = signals_of(spark, sf_dir, "momentum_breakout")
     account = trades.Account(allow_fractional=False)
-    return trades.book(trades.walk_runs(s, account=account), s, account=account).select(
+    return trades.blotter(s, account=account).select(
         "symbol", "entry_ts", "exit_ts", *rounded(entry_price="entry_price", exit_price="exit_price", qty="qty"),
         *rounded(4, pnl="pnl"), *rounded(8, trade_return="return"), "reason")
 
@@ -400,7 +400,7 @@ def acceptance_gates(spark, sf_dir):
 @query
 def trade_bootstrap(spark, sf_dir):
     s = signals_of(spark, sf_dir, "momentum_breakout")
-    blotter = trades.book(trades.walk_runs(s), s)
+    blotter = trades.blotter(s)
     out = resample.trade_bootstrap(fx.walk_bars(spark, sf_dir).select("symbol").distinct(), blotter, ["symbol"], "entry_no")
     return out.select("symbol", "n_sims", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("symbol", "n_sims")])
 

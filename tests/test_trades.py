@@ -1,7 +1,10 @@
 """Golden tiny frames and comparison with a plain bar loop."""
 
+import pickle
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +164,59 @@ def test_strategies_have_entries_and_registry(spark, walk_df):
     with pytest.raises(ValueError):
         signals.signal(signals.Strategy("BREAKOUT_RR", {}, {}, {}, {}, None))
     assert len(signals.list_strategies()) == 5
+
+
+def random_bars(rng, n):
+    """Coarse prices (many ties), missing values, frequent signals."""
+    close = 100 + np.cumsum(rng.integers(-2, 3, n)).astype(float)
+    open_ = close + rng.integers(-1, 2, n)
+    g = pd.DataFrame({"open": open_, "high": np.maximum(open_, close) + rng.integers(0, 2, n),
+                      "low": np.minimum(open_, close) - rng.integers(0, 2, n), "close": close,
+                      "entry": rng.random(n) < rng.choice([0.1, 0.6]), "exit": rng.random(n) < rng.choice([0.0, 0.1]),
+                      "stop": np.where(rng.random(n) < 0.3, np.nan, close - rng.integers(-1, 8, n)),
+                      "take_profit": np.where(rng.random(n) < 0.5, np.nan, close + rng.integers(0, 9, n))})
+    for c in ("high", "low"):
+        g.loc[rng.random(n) < 0.03, c] = np.nan
+    return g
+
+
+def blocks_of(g, size, trail, costs, acc):
+    n = len(g)
+    ts = pd.date_range("2024-01-01", periods=n, freq="h").to_numpy().astype("datetime64[us]")
+    for a in range(0, n, size):
+        b, part = min(n, a + size), g.iloc[a:a + size]
+        yield trades.Block(pa.table({
+            "bar_no": np.arange(a, b), "n_bars": np.full(b - a, n), "ts": ts[a:b], "trail": np.full(b - a, trail),
+            **{c: pa.array(part[c].to_numpy()) for c in ("open", "high", "low", "close", "entry", "exit", "stop", "take_profit")},
+            "next_open": np.full(b - a, g["open"].iloc[b] if b < n else np.nan),
+            "next_ts": np.full(b - a, ts[b] if b < n else np.datetime64("NaT", "us"))}), costs, acc)
+
+
+def test_blocks_of_any_size_equal_plain_loop():
+    """Ends by lookup, chains by pointers and starts by summaries, against one bar after the other."""
+    rng = np.random.default_rng(11)
+    for case in range(400):
+        g, trail, fractional = random_bars(rng, int(rng.integers(2, 70))), bool(case % 2), case % 3 > 0
+        costs, acc = Costs(0.001, 10.0, int(rng.integers(1, 4))), Account(2_000.0, 0.02, fractional)
+        want, curve = loop(g, costs, acc, trail)
+        state, got, equity, ret = trades.State(acc.initial_cash), [], [], []
+        through = state
+        for block in blocks_of(g, int(rng.integers(1, 30)), trail, costs, acc):
+            if fractional:  # the start found from the summaries before
+                assert (state.position is None) == (through.position is None) and state.ruined == through.ruined
+                np.testing.assert_allclose([through.cash, through.before], [state.cash, state.before], rtol=1e-9)
+                if state.position:
+                    a, b = state.position, through.position
+                    assert (a.entry_no, a.level, a.target) == (b.entry_no, b.level, b.target)
+                    np.testing.assert_allclose(a.qty, b.qty, rtol=1e-9)
+                through = trades._through(through, pickle.loads(block.summary()), costs)
+            done, behind = block.emit(state)
+            made = block.curve(state, done, behind)
+            equity += made["equity"].tolist()
+            ret += made["ret"].tolist()
+            got += [(t["entry_no"], t["exit_no"], round(t["entry_price"], 6), round(t["exit_price"], 6), round(t["qty"], 6), t["reason"])
+                    for t in done]
+            state = behind
+        assert got == want
+        np.testing.assert_allclose(equity, curve, rtol=1e-9)
+        np.testing.assert_allclose(ret[1:], np.array(curve[1:]) / np.array(curve[:-1]) - 1, rtol=1e-6, atol=1e-9)
