@@ -142,6 +142,23 @@ def number_rows(
     return numbered, longest
 
 
+def ranked(df: DataFrame, keys: tuple[str, ...], order: list[str], out: str = "bar_no") -> DataFrame:
+    """Number the rows of each key from 0 by ``order``, however many a key (or no key: all rows) has.
+
+    The rows are dealt by ranges of (keys, order) and written; a range is numbered
+    by itself, behind the counts of the ranges before it. No task sorts more than
+    a range. ``order`` is unique per key.
+    """
+    dealt = df.repartitionByRange(*keys, *order) if keys else df.repartitionByRange(*order)
+    dealt = cut_lineage(dealt.withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    numbered = join_on(dealt.withColumn("_inside", inside), offsets, [*keys, "_range"])
+    return numbered.withColumn(out, (F.col("_before") + F.col("_inside")).cast("long")).drop("_range", "_before", "_inside")
+
+
 def block_rows(
     numbered: DataFrame, keys: tuple[str, ...], longest: int, halo: int = 0, block: int = BLOCK
 ) -> Series:

@@ -349,15 +349,10 @@ def equity_curve(spark, sf_dir):
 def metrics_printed(spark, sf_dir):
     """Long-form metric table; counts and labels, values as printed text."""
     m = metrics.summarize(trades.backtest(signals_of(spark, sf_dir, "momentum_breakout"))[1], by=["symbol"])
-    return metrics.metrics_table(m, ["symbol"]).filter(F.col("metric").isin("# Trades", "Win Rate", "Max Drawdown")).select(
-        "symbol", F.col("line").cast("long").alias("line"), "metric", "value")
+    return metrics.metrics_table(m, ["symbol"]).select("symbol", F.col("line").cast("long").alias("line"), "metric", "value")
 
 
-@query
-def metrics_printed_full(spark, sf_dir):
-    """The printed table with all its labels (`metrics_printed`, which has SQL, shows three)."""
-    m = metrics.summarize(trades.backtest(signals_of(spark, sf_dir, "momentum_breakout"))[1], by=["symbol"])
-    return metrics.metrics_table(m, ["symbol"]).select("symbol", F.col("line").cast("long").alias("line"), "metric", "value")
+QUERIES["metrics_printed_full"] = QUERIES["metrics_printed"]  # its name while `metrics_printed` showed three labels
 
 
 # --- validation, resampling, sweeps --------------------------------------------------
@@ -391,10 +386,7 @@ def acceptance_gates(spark, sf_dir):
     loose = validation.Criteria(min_sharpe=0.2, min_profit_factor=1.0, min_trades=2, max_drawdown=0.05)
     wide = validation.side_by_side(_split_metrics(spark, sf_dir), ["symbol"])
     report = validation.gates(wide, ["symbol"], loose)
-    check = lambda n: F.try_element_at("checks", F.lit(n)).alias(n)
-    return report.select("symbol", "passed", F.size("reasons").cast("long").alias("n_reasons"), check("oos_positive"),
-                         check("sharpe"), check("profit_factor"), check("max_drawdown"), check("min_trades"),
-                         check("is_oos_consistency"))
+    return _shown_gates(report, ["symbol"])
 
 
 @query
@@ -412,12 +404,12 @@ def block_bootstrap(spark, sf_dir):
     return resample.block_bootstrap(s, n_sims=1000).select("symbol", "sim", F.round("terminal", 6).alias("terminal"))
 
 
-#: Trials of `sweep_trials` and `sweep_best`, as many as their SQL has; of the full sweeps, as many as the reference draws.
-SWEEP_TRIALS, FULL_TRIALS = 4, 60
+#: Trials of a sweep, as many as the reference draws.
+SWEEP_TRIALS = 60
 
 
-def _trials(spark, sf_dir, n=SWEEP_TRIALS):
-    sets = sweep.draw_parameters("momentum_breakout", n)
+def _trials(spark, sf_dir):
+    sets = sweep.draw_parameters("momentum_breakout", SWEEP_TRIALS)
     return sweep.trials(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout", sets,
                         sweep.Objective(min_trades=3))
 
@@ -443,14 +435,8 @@ def sweep_best(spark, sf_dir):
     return _shown_best(_trials(spark, sf_dir))
 
 
-@query
-def sweep_trials_full(spark, sf_dir):
-    return _shown_trials(_trials(spark, sf_dir, FULL_TRIALS))
-
-
-@query
-def sweep_best_full(spark, sf_dir):
-    return _shown_best(_trials(spark, sf_dir, FULL_TRIALS))
+# Their names while the others had four trials.
+QUERIES["sweep_trials_full"], QUERIES["sweep_best_full"] = QUERIES["sweep_trials"], QUERIES["sweep_best"]
 
 
 def _sensitivity(spark, sf_dir):
@@ -499,8 +485,31 @@ def portfolio_equity(spark, sf_dir):
 
 @query
 def portfolio_metrics(spark, sf_dir):
-    blotter, curve = validation.run_split(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout")
-    return validation.portfolio_metrics(curve, blotter).select("segment", *rounded_metrics())
+    _, curve = validation.run_split(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout")
+    return validation.portfolio_metrics(validation.portfolio(curve)).select("segment", *rounded_metrics())
+
+
+def _shown_gates(report, keys):
+    check = lambda n: F.try_element_at("checks", F.lit(n)).alias(n)
+    return report.select(*keys, "passed", F.size("reasons").cast("long").alias("n_reasons"), F.array_join("reasons", "; ").alias("reasons"),
+                         *[check(n) for n in ("oos_positive", "sharpe", "profit_factor", "max_drawdown", "min_trades", "is_oos_consistency")])
+
+
+@query
+def portfolio_gates(spark, sf_dir):
+    """The acceptance gates, with the usual criteria, of the pooled portfolio of all symbols."""
+    _, curve = validation.run_split(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout")
+    return _shown_gates(validation.portfolio_verdict(curve), [])
+
+
+@query
+def portfolio_bootstrap(spark, sf_dir):
+    """Bootstrap of the pooled out-of-sample trades of all symbols, numbered by symbol and entry."""
+    made, _ = validation.run_split(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout")
+    pooled = made.filter("segment = 'oos'").select("segment", "symbol", "entry_no", "return")
+    numbered = layout.ranked(pooled.filter("return IS NOT NULL AND NOT isnan(return)"), ("segment",), ["symbol", "entry_no"], "trade_no")
+    out = resample.trade_bootstrap(spark.range(1).select(F.lit("oos").alias("segment")), numbered, ["segment"], "trade_no", n_sims=200)
+    return out.select("segment", "n_sims", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("segment", "n_sims")])
 
 
 @query

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from barloom.sources.fixtures import (
     EQUITY_SNAPSHOTS_SQL, EVENT_BARS_SQL, FAULTY_BARS_SQL, LEDGER_FILLS_SQL, WALK_BARS_SQL)
-from barloom.plans import sweep
 from oracle import sql
 
 W = WALK_BARS_SQL
@@ -159,11 +158,24 @@ for _s in ("trend_following", "momentum_breakout", "mean_reversion", "regime_ada
     ORACLE[f"metrics_{_s}"] = sql.metrics(_s)
 ORACLE["trades_whole_units"] = sql.blotter("momentum_breakout", whole=True)
 ORACLE["equity_curve"] = sql.equity("momentum_breakout")
+_LINES = (("CAGR", "cagr", "%"), ("Total Return", "total_return", "%"), ("Sharpe", "sharpe", "f"), ("Sortino", "sortino", "f"),
+          ("Calmar", "calmar", "f"), ("Max Drawdown", "max_drawdown", "%"), ("Volatility (ann.)", "volatility", "%"),
+          ("Win Rate", "win_rate", "%"), ("Profit Factor", "profit_factor", "f"), ("Avg Trade", "avg_trade", "f"),
+          ("Expectancy", "expectancy", "f"), ("# Trades", "n_trades", "d"))
+
+
+def _printed(column: str, kind: str) -> str:
+    if kind == "d":
+        return f"cast({column} AS varchar)"
+    shown = f"printf('%.2f%%', {column} * 100)" if kind == "%" else f"printf('%.2f', {column})"
+    return f"CASE WHEN isinf({column}) THEN 'inf' ELSE {shown} END"
+
+
 ORACLE["metrics_printed"] = f"""WITH RECURSIVE {sql.signals_cte('momentum_breakout')}, {sql.trades_cte()}, {sql.EQ},
-  mt AS ({sql.metrics_of('eq')})
-  SELECT symbol, 5 AS line, 'Max Drawdown' AS metric, printf('%.2f%%', max_drawdown * 100) AS value FROM mt
-  UNION ALL SELECT symbol, 7, 'Win Rate', printf('%.2f%%', win_rate * 100) FROM mt
-  UNION ALL SELECT symbol, 11, '# Trades', cast(n_trades AS varchar) FROM mt"""
+  mt AS ({sql.metrics_of('eq')}) """ + " UNION ALL ".join(
+    f"SELECT symbol, cast({i} AS bigint) AS line, '{label}' AS metric, {_printed(c, kind)} AS value FROM mt"
+    for i, (label, c, kind) in enumerate(_LINES))
+ORACLE["metrics_printed_full"] = ORACLE["metrics_printed"]
 
 # --- validation, resampling, sweeps ---------------------------------------------
 KEY = "split_part(symbol, '|', 1) AS symbol, split_part(symbol, '|', 2) AS segment"
@@ -178,36 +190,60 @@ SPLIT = f"WITH RECURSIVE {sql.signals_cte('momentum_breakout', sql.split_bars())
 ORACLE["split_metrics"] = f"""{SPLIT}, mt AS ({sql.metrics_of('eq')}) SELECT {KEY}, {sql.ROUNDED} FROM mt"""
 WIDE = ", ".join(f"max({m}) FILTER (seg = '{g}') AS {g}_{m}" for g in ("is", "oos") for m in (
     "total_return", "sharpe", "cagr", "profit_factor", "max_drawdown", "n_trades"))
+
+
+def _gates(wide: str, key: str, sharpe: str, factor: str, deepest: str, least: str, trades: str) -> str:
+    """Checks, verdict and reasons of a table of is_ and oos_ metrics; limits as printed."""
+    return f"""ck AS (SELECT {key}oos_total_return > 0 AS oos_positive, oos_sharpe >= {sharpe} AS sharpe, oos_profit_factor >= {factor} AS profit_factor,
+                abs(least(is_max_drawdown, oos_max_drawdown)) <= {deepest} AS max_drawdown, oos_n_trades >= {trades} AS min_trades,
+                CASE WHEN is_sharpe > 0 THEN oos_sharpe / is_sharpe >= {least} END AS is_oos_consistency,
+                printf('OOS total return not positive (%.2f%%)', oos_total_return * 100) AS r1, printf('OOS Sharpe %.2f < {sharpe}', oos_sharpe) AS r2,
+                printf('OOS profit factor %.2f < {factor}', oos_profit_factor) AS r3,
+                printf('Max drawdown %.2f%% > {float(deepest) * 100:.0f}%%', abs(least(is_max_drawdown, oos_max_drawdown)) * 100) AS r4,
+                'Only ' || cast(oos_n_trades AS bigint) || ' OOS trades (< {trades})' AS r5,
+                printf('OOS/IS Sharpe ratio %.2f < {least} (overfit risk)', oos_sharpe / nullif(is_sharpe, 0)) AS r6 FROM {wide}),
+  rs AS (SELECT *, concat_ws('; ', CASE WHEN NOT oos_positive THEN r1 END, CASE WHEN NOT sharpe THEN r2 END, CASE WHEN NOT profit_factor THEN r3 END,
+                CASE WHEN NOT max_drawdown THEN r4 END, CASE WHEN NOT min_trades THEN r5 END,
+                CASE WHEN NOT coalesce(is_oos_consistency, true) THEN r6 END) AS reasons,
+                cast((NOT oos_positive)::int + (NOT sharpe)::int + (NOT profit_factor)::int + (NOT max_drawdown)::int + (NOT min_trades)::int
+                + (NOT coalesce(is_oos_consistency, true))::int AS bigint) AS n_reasons FROM ck)
+  SELECT {key}oos_positive, sharpe, profit_factor, max_drawdown, min_trades, is_oos_consistency, n_reasons = 0 AS passed, n_reasons, reasons FROM rs"""
+
+
 ORACLE["acceptance_gates"] = f"""{SPLIT}, mt AS ({sql.metrics_of('eq')}),
   wd AS (SELECT sy AS symbol, {WIDE} FROM (SELECT *, split_part(symbol, '|', 1) AS sy, split_part(symbol, '|', 2) AS seg FROM mt) GROUP BY 1),
-  ck AS (SELECT symbol, oos_total_return > 0 AS oos_positive, oos_sharpe >= 0.2 AS sharpe, oos_profit_factor >= 1.0 AS profit_factor,
-                abs(least(is_max_drawdown, oos_max_drawdown)) <= 0.05 AS max_drawdown, oos_n_trades >= 2 AS min_trades,
-                CASE WHEN is_sharpe > 0 THEN oos_sharpe / is_sharpe >= 0.5 END AS is_oos_consistency FROM wd)
-  SELECT *, oos_positive AND sharpe AND profit_factor AND max_drawdown AND min_trades AND coalesce(is_oos_consistency, true) AS passed,
-         cast((NOT oos_positive)::int + (NOT sharpe)::int + (NOT profit_factor)::int + (NOT max_drawdown)::int + (NOT min_trades)::int
-              + (NOT coalesce(is_oos_consistency, true))::int AS bigint) AS n_reasons FROM ck"""
+  {_gates('wd', 'symbol, ', '0.2', '1.0', '0.05', '0.5', '2')}"""
 
 MOMENTUM = f"WITH RECURSIVE {sql.signals_cte('momentum_breakout')}, {sql.trades_cte()}, {sql.EQ}"
-_draws = "SELECT t.symbol, t.n, s.sim, d.j FROM cnt t, range(2000) s(sim), range(t.n) d(j)"
-ORACLE["trade_bootstrap"] = f"""{MOMENTUM},
-  tr AS MATERIALIZED (SELECT symbol, tret AS r, row_number() OVER (PARTITION BY symbol ORDER BY bar_no) - 1 AS t FROM eq WHERE tret IS NOT NULL),
-  cnt AS (SELECT symbol, count(*) AS n FROM tr GROUP BY 1 HAVING count(*) >= 3),
-  dr AS ({sql.draw_columns(_draws, 42, 'sim', 'j', 'n')}),
-  pa AS (SELECT dr.symbol, sim, j, exp(sum(ln(1 + r)) OVER (PARTITION BY dr.symbol, sim ORDER BY j)) AS g
-         FROM dr JOIN tr ON tr.symbol = dr.symbol AND tr.t = dr.pick),
-  pk AS (SELECT *, greatest(max(g) OVER (PARTITION BY symbol, sim ORDER BY j), 1.0) AS peak FROM pa),
-  sm2 AS (SELECT symbol, sim, arg_max(g, j) AS g, least(min(g / peak - 1), 0) AS dd FROM pk GROUP BY 1, 2),
-  st AS (SELECT symbol, count(*) AS n_sims, avg(g - 1) AS cagr_mean, quantile_cont(g - 1, 0.05) AS cagr_p05,
+
+
+def _bootstrap(key: str, numbered: str, runs: str, n_sims: int) -> str:
+    """Bootstrap summary per run of ``runs`` from trades (key, r, t), t counted from 0."""
+    draws = f"SELECT t.{key}, t.n, s.sim, d.j FROM cnt t, range({n_sims}) s(sim), range(t.n) d(j)"
+    names = ("cagr_mean", "cagr_p05", "cagr_p95", "max_dd_mean", "max_dd_p95", "prob_profit")
+    shown = ", ".join([f"round(coalesce({c}, 0), 6) AS {c}" for c in names]
+                      + [f"round(coalesce(terminal_{c}, 10000), 6) AS terminal_{c}" for c in ("p05", "p50", "p95")])
+    return f"""tr AS MATERIALIZED ({numbered}),
+  cnt AS (SELECT {key}, count(*) AS n FROM tr GROUP BY 1 HAVING count(*) >= 3),
+  dr AS ({sql.draw_columns(draws, 42, 'sim', 'j', 'n')}),
+  pa AS (SELECT dr.{key}, sim, j, exp(sum(ln(1 + r)) OVER (PARTITION BY dr.{key}, sim ORDER BY j)) AS g
+         FROM dr JOIN tr ON tr.{key} = dr.{key} AND tr.t = dr.pick),
+  pk AS (SELECT *, greatest(max(g) OVER (PARTITION BY {key}, sim ORDER BY j), 1.0) AS peak FROM pa),
+  sm2 AS (SELECT {key}, sim, arg_max(g, j) AS g, least(min(g / peak - 1), 0) AS dd FROM pk GROUP BY 1, 2),
+  st AS (SELECT {key}, count(*) AS n_sims, avg(g - 1) AS cagr_mean, quantile_cont(g - 1, 0.05) AS cagr_p05,
                 quantile_cont(g - 1, 0.95) AS cagr_p95, avg(dd) AS max_dd_mean, quantile_cont(dd, 0.05) AS max_dd_p95,
                 avg(CASE WHEN g * 10000.0 > 10000.0 THEN 1.0 ELSE 0.0 END) AS prob_profit, quantile_cont(g * 10000.0, 0.05) AS terminal_p05,
                 quantile_cont(g * 10000.0, 0.5) AS terminal_p50, quantile_cont(g * 10000.0, 0.95) AS terminal_p95
          FROM sm2 GROUP BY 1)
-  SELECT b.symbol, coalesce(n_sims, 0) AS n_sims, round(coalesce(cagr_mean, 0), 6) AS cagr_mean, round(coalesce(cagr_p05, 0), 6) AS cagr_p05,
-    round(coalesce(cagr_p95, 0), 6) AS cagr_p95, round(coalesce(max_dd_mean, 0), 6) AS max_dd_mean,
-    round(coalesce(max_dd_p95, 0), 6) AS max_dd_p95, round(coalesce(prob_profit, 0), 6) AS prob_profit,
-    round(coalesce(terminal_p05, 10000), 6) AS terminal_p05, round(coalesce(terminal_p50, 10000), 6) AS terminal_p50,
-    round(coalesce(terminal_p95, 10000), 6) AS terminal_p95
-  FROM (SELECT DISTINCT symbol FROM sg) b LEFT JOIN st USING (symbol)"""
+  SELECT b.{key}, coalesce(n_sims, 0) AS n_sims, {shown} FROM ({runs}) b LEFT JOIN st USING ({key})"""
+
+
+ORACLE["trade_bootstrap"] = f"""{MOMENTUM}, {_bootstrap(
+    'symbol', 'SELECT symbol, tret AS r, row_number() OVER (PARTITION BY symbol ORDER BY bar_no) - 1 AS t FROM eq WHERE tret IS NOT NULL',
+    'SELECT DISTINCT symbol FROM sg', 2000)}"""
+ORACLE["portfolio_bootstrap"] = f"""{SPLIT}, {_bootstrap(
+    'segment', "SELECT 'oos' AS segment, tret AS r, row_number() OVER (ORDER BY split_part(symbol, '|', 1), bar_no) - 1 AS t "
+    "FROM eq WHERE tret IS NOT NULL AND split_part(symbol, '|', 2) = 'oos'", "SELECT 'oos' AS segment", 200)}"""
 
 _blocks = "SELECT c.symbol, c.n, s.sim, d.b FROM cnt c, range(1000) s(sim), range(cast(ceil(c.n / 20.0) AS bigint)) d(b)"
 ORACLE["block_bootstrap"] = f"""WITH nb AS MATERIALIZED ({sql.numbered()}),
@@ -217,7 +253,24 @@ ORACLE["block_bootstrap"] = f"""WITH nb AS MATERIALIZED ({sql.numbered()}),
   bars AS (SELECT symbol, sim, pick + o.k AS t FROM dr, range(20) o(k) WHERE b * 20 + o.k < n)
   SELECT bars.symbol, sim, round(exp(sum(lr)), 6) AS terminal FROM bars JOIN rt ON rt.symbol = bars.symbol AND rt.t = bars.t GROUP BY 1, 2"""
 
-_SETS = sweep.draw_parameters("momentum_breakout", 4)
+
+
+def _drawn_sets(n: int, space: tuple) -> list[dict]:
+    """Parameter sets by the definition of the draws: a hash of (seed 42, trial, place of the parameter)."""
+    prime, sets = 2**31 - 1, []
+    for trial in range(n):
+        drawn = {}
+        for place, (name, kind, low, high) in enumerate(space):
+            a = (42 * 97 + trial * 2654435761 + place * 40503) % prime
+            b = ((a * a + 12345) % prime * 48271 + a) % prime
+            c = (b * b + 777) % prime
+            drawn[name] = low + c % (high - low + 1) if kind == "int" else round(low + (high - low) * c / prime, 6)
+        sets.append(drawn)
+    return sets
+
+
+_SETS = _drawn_sets(60, (("channel", "int", 10, 55), ("exit_channel", "int", 5, 20), ("atr_period", "int", 10, 21),
+                         ("atr_mult", "float", 2.0, 5.0), ("vol_mult", "float", 1.0, 2.0)))
 _SWEEP = f"""WITH RECURSIVE {sql.momentum_sets_cte(sql.split_bars(0.7, 250), _SETS)}, {sql.trades_cte()}, {sql.EQ},
   mt AS ({sql.metrics_of('eq')}),
   wd AS (SELECT sy AS symbol, pid AS param_id, {WIDE}
@@ -231,7 +284,21 @@ ORACLE["sweep_best"] = f"""{_SWEEP} SELECT symbol, param_id, coalesce(round(scor
     SELECT symbol, CASE WHEN score IS NOT NULL THEN param_id END AS param_id, score, count(*) OVER (PARTITION BY symbol) AS n_trials,
            row_number() OVER (PARTITION BY symbol ORDER BY score DESC NULLS LAST, param_id) AS rn FROM sc) WHERE rn = 1"""
 
-_GRID = sweep.sensitivity_sets("momentum_breakout")
+ORACLE["sweep_trials_full"], ORACLE["sweep_best_full"] = ORACLE["sweep_trials"], ORACLE["sweep_best"]
+
+
+def _grid(space: tuple) -> list[tuple]:
+    """One parameter at a time, at five even steps from 75 to 125 % of its base; window lengths rounded, halves to even."""
+    rows = []
+    for name, kind, base in space:
+        for i in range(5):
+            value = 0.75 * base + (1.25 * base - 0.75 * base) * i / 4
+            rows.append((name, round(value) if kind == "int" else value))
+    return [(name, value, {name: value}) for name, value in rows if value >= 1 or isinstance(value, float)]
+
+
+_GRID = _grid((("channel", "int", 20), ("exit_channel", "int", 10), ("atr_period", "int", 14), ("atr_mult", "float", 3.0),
+               ("vol_mult", "float", 1.2)))
 _grid_rows = ", ".join(f"({i}, '{g[0]}', cast({float(g[1])!r} AS double))" for i, g in enumerate(_GRID))
 _SENS = f"""WITH RECURSIVE {sql.momentum_sets_cte(W, [g[2] for g in _GRID])}, {sql.trades_cte()}, {sql.EQ}, mt AS ({sql.metrics_of('eq')}),
   tb AS (SELECT mt.* EXCLUDE (symbol), split_part(symbol, '#', 1) AS symbol, param, value
@@ -281,6 +348,10 @@ ORACLE["portfolio_metrics"] = f"""{_PF}, pm AS ({sql.metrics_of('pq', 'segment')
                 ta.win_rate, ta.profit_factor, ta.avg_trade, ta.expectancy, ta.n_trades FROM pm JOIN ta USING (segment))
   SELECT segment, {sql.ROUNDED} FROM mt"""
 
+ORACLE["portfolio_gates"] = f"""{_PF}, pm AS ({sql.metrics_of('pq', 'segment')}), ta AS ({sql.metrics_of('sp', 'segment')}),
+  mt AS (SELECT pm.segment AS seg, pm.total_return, pm.sharpe, pm.cagr, pm.max_drawdown, ta.profit_factor, ta.n_trades FROM pm JOIN ta USING (segment)),
+  wd AS (SELECT {WIDE} FROM mt), {_gates('wd', '', '1.2', '1.3', '0.2', '0.5', '30')}"""
+
 ORACLE["strategy_leaderboard"] = " UNION ALL ".join(
     f"""SELECT * FROM (WITH RECURSIVE {sql.signals_cte(s_)}, {sql.trades_cte()}, {sql.EQ}, mt AS ({sql.metrics_of('eq')})
     SELECT '{s_}' AS strategy, round(avg(sharpe), 6) AS mean_sharpe, round(avg(total_return), 6) AS mean_return,

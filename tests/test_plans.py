@@ -54,16 +54,40 @@ def test_walk_forward_and_portfolio_do_not_depend_on_blocks(bars):
     for block in (layout.BLOCK, SMALL):
         _, _, curve = validation.walk_forward(bars, ("symbol",), "momentum_breakout", block=block)
         stitched.append(metrics.summarize(curve))
-        blotter, split = validation.run_split(bars, ("symbol",), "momentum_breakout", block=block)
-        pooled.append(validation.portfolio_metrics(split, blotter))
+        _, split = validation.run_split(bars, ("symbol",), "momentum_breakout", block=block)
+        pooled.append(validation.portfolio_metrics(validation.portfolio(split)))
     same(*stitched, ["symbol"])
     same(*pooled, ["segment"])
 
 
-def test_pooled_trades_are_the_sum(bars):
+def test_pooled_portfolio_is_the_mean_of_its_members(bars):
     blotter, curve = validation.run_split(bars, ("symbol",), "momentum_breakout")
-    pooled = {r.segment: r.n_trades for r in validation.portfolio_metrics(curve, blotter).collect()}
-    assert pooled == {r.segment: r["count"] for r in blotter.groupBy("segment").count().collect()}
+    pooled = {r.segment: r for r in validation.portfolio_metrics(validation.portfolio(curve)).collect()}
+    rows, made = curve.core_rows().df.toPandas(), blotter.toPandas()
+    for segment, g in rows.groupby("segment"):
+        wide = g.pivot(index="ts", columns="symbol", values="ret").sort_index().fillna(0.0)
+        assert abs(pooled[segment].total_return - ((1 + wide.mean(axis=1)).prod() / (1 + wide.mean(axis=1).iloc[0]) - 1)) < 1e-9
+        pnl = made[made.segment == segment].pnl
+        assert pooled[segment].n_trades == len(pnl)
+        assert abs(pooled[segment].avg_trade - pnl.mean()) < 1e-9
+        assert abs(pooled[segment].profit_factor - pnl[pnl > 0].sum() / -pnl[pnl < 0].sum()) < 1e-9
+    verdict = validation.portfolio_verdict(curve, criteria=validation.Criteria(min_trades=1, min_sharpe=-99.0)).collect()
+    assert len(verdict) == 1 and verdict[0].checks["min_trades"] and verdict[0].checks["sharpe"]
+    assert verdict[0].checks["oos_positive"] == (pooled["oos"].total_return > 0)
+
+
+def test_ranking_over_ranges(spark):
+    """Rows of a key, and all rows, numbered over many ranges."""
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", None], 3000, p=[0.8, 0.1, 0.1]), "o": rng.permutation(3000), "x": 1})
+    frame = spark.createDataFrame(pdf).repartition(5)
+    for keys in ((), ("k",)):
+        got = layout.ranked(frame, keys, ["o"], "no").toPandas()
+        assert len(got) == 3000
+        groups = got.groupby(list(keys), dropna=False) if keys else [(None, got)]
+        for _, g in groups:
+            assert g.sort_values("o").no.tolist() == list(range(len(g)))
+    assert layout.ranked(frame.limit(0), ("k",), ["o"]).count() == 0
 
 
 def test_bootstrap_paths(spark):
@@ -206,18 +230,13 @@ def test_close_based_fold_over_blocks(bars):
 
 
 def test_full_sweep_and_full_printed_table(spark, sf_dir):
-    """60 trials a symbol, the best of them by plain search, the first ones as in the small sweep; all printed labels."""
-    trials = catalog.QUERIES["sweep_trials_full"](spark, sf_dir).collect()
-    best = {r.symbol: r for r in catalog.QUERIES["sweep_best_full"](spark, sf_dir).collect()}
+    """60 trials a symbol, the best of them by plain search; all printed labels."""
+    trials = catalog.QUERIES["sweep_trials"](spark, sf_dir).collect()
+    best = {r.symbol: r for r in catalog.QUERIES["sweep_best"](spark, sf_dir).collect()}
     symbols = {r.symbol for r in trials}
     assert best.keys() == symbols and sorted((r.symbol, r.param_id) for r in trials) == sorted((s, i) for s in symbols for i in range(60))
     for s in symbols:
         top = min(((-r.score, r.param_id) for r in trials if r.symbol == s and r.score is not None), default=(0.0, None))
         assert (-best[s].score, best[s].param_id, best[s].n_trials) == (*top, 60)
-    sets = sweep.draw_parameters("momentum_breakout", 60)
-    assert sets[:4] == sweep.draw_parameters("momentum_breakout", 4)
-    small = {(r.symbol, r.param_id): r.score for r in catalog.QUERIES["sweep_trials"](spark, sf_dir).collect()}
-    assert {(r.symbol, r.param_id): r.score for r in trials if r.param_id < 4} == small
-    table = catalog.QUERIES["metrics_printed_full"](spark, sf_dir).collect()
+    table = catalog.QUERIES["metrics_printed"](spark, sf_dir).collect()
     assert len(table) == 12 * len(symbols) and {r.metric for r in table} == {label for label, _, _ in metrics.LABELS}
-    assert set(catalog.QUERIES["metrics_printed"](spark, sf_dir).collect()) < set(table)
