@@ -7,8 +7,9 @@ holds that many non-null inputs.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.layout import Series
@@ -36,6 +37,47 @@ def lowest_of(series: Series, source: str, n: int) -> Column:
     return framed(series, n, F.min(source).over(series.rows(n)), F.col(source))
 
 
+#: Width of a range frame in scaled bar numbers; lengths up to 2 ** 20 fit.
+_SCALE = 1 << 40
+_STATISTIC = {"max": F.max, "min": F.min, "avg": F.avg, "std": F.stddev_pop}
+
+
+@dataclass(frozen=True)
+class Rolling:
+    """A statistic (max, min, avg, std) of the last rows of a column, the current row included or, if ``prior``, left out."""
+
+    kind: str
+    source: str
+    prior: bool = False
+
+    def over(self, series: Series, n: int) -> Column:
+        """Over ``n`` rows; NULL where fewer values are known."""
+        series.need(n if self.prior else n - 1)
+        frame = series.order().rowsBetween(-n, -1) if self.prior else series.rows(n)
+        return F.when(F.count(self.source).over(frame) == n, _STATISTIC[self.kind](self.source).over(frame))
+
+
+def rolling_by(series: Series, columns: dict[str, tuple[Rolling, Column]]) -> Series:
+    """Rolling statistics whose length is a column, constant in every group: one frame for all lengths.
+
+    Bar numbers are scaled by the length, so that a range frame of one fixed width
+    holds exactly that many rows. The plan does not grow with the number of
+    lengths, which may come from a table. The rows that the longest one reaches back
+    must have been laid out (`Series.need`).
+    """
+    prior = {f"_prior_{r.source}": F.lag(r.source).over(series.order()) for r, _ in columns.values() if r.prior}
+    s = series.with_columns(prior) if prior else series
+    place = (F.col("bar_no") - F.col("blk") * s.block).cast("long")
+    made = {}
+    for name, (rolling, length) in columns.items():
+        source = f"_prior_{rolling.source}" if rolling.prior else rolling.source
+        step = (F.floor(F.lit(_SCALE) / length) + 1).cast("long")
+        frame = Window.partitionBy(*s.group).orderBy(place * step).rangeBetween(-_SCALE, 0)
+        made[name] = F.when(F.count(source).over(frame) == length, _STATISTIC[rolling.kind](source).over(frame))
+    s = s.with_columns(made)
+    return s.using(s.df.drop(*prior))
+
+
 def before(series: Series, column: str | Column) -> Column:
     series.need(1)
     return F.lag(column).over(series.order())

@@ -27,6 +27,19 @@ def drawdown(series: Series, source: str = "equity") -> Series:
     return s.with_columns({"drawdown": F.col(source) / F.nullif(F.col("peak"), F.lit(0.0)) - 1.0})
 
 
+def regime_drawdowns(series: Series, regime: str, source: str = "equity") -> DataFrame:
+    """(keys, regime, max_drawdown): the deepest fall inside any unbroken stretch of a regime.
+
+    A stretch is numbered by the changes up to it, also across blocks, and its peak
+    starts anew with it. Rows without regime form stretches of their own (NULL).
+    """
+    s = layout.previous(series, {"_was": regime})
+    change = (~F.col(regime).eqNullSafe(F.col("_was"))).cast("long")
+    s = layout.settle(layout.running(s, {"_stretch": ("sum", change)}))
+    s = drawdown(s.using(s.df, "_stretch"), source)
+    return s.df.groupBy(*series.keys, F.col(regime).alias("regime")).agg(F.min("drawdown").alias("max_drawdown"))
+
+
 def compounded(series: Series, source: str = "ret", out: str = "growth") -> Series:
     """Running product of 1 + x per key, for any x: signs and zeros are counted apart."""
     factor = 1.0 + F.coalesce(F.col(source), F.lit(0.0))

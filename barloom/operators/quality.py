@@ -120,6 +120,7 @@ def report(
         total = layout.join_on(expected.select(*keys).distinct(), total, list(keys), "left")
     empty = F.col("n_candles").isNull()
     say = lambda name, text: F.when(F.col(name) > 0, F.concat(F.col(name).cast("string"), F.lit(f" {text}")))
+    # The texts of the messages are fixed values.
     notes = F.array_compact(F.array(
         F.when(empty, "empty dataframe"), say("n_duplicates", "duplicate timestamps"),
         F.when(F.col("_late"), "timestamps not strictly increasing"),

@@ -477,6 +477,44 @@ def walk_forward_fitted(spark, sf_dir):
                           F.col("param_id").cast("long").alias("param_id"), *rounded_metrics())
 
 
+def _window_channels(train, run_keys):
+    """A channel length for each window, from its train rows: 10 and a number under 40 made of their rising bars."""
+    rising = F.sum((F.col("close") > F.col("open")).cast("long"))
+    return train.groupBy(*run_keys).agg((10 + rising % 40).cast("int").alias("channel"), (5 + rising % 12).cast("int").alias("exit_channel"))
+
+
+@query
+def walk_forward_fit_function(spark, sf_dir):
+    """Each window trades the lengths that a function finds on its train rows."""
+    windows, chosen, _ = validation.walk_forward(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout", fit=_window_channels)
+    return layout.join_on(windows, chosen.select("symbol", "segment", "channel", "exit_channel"), ["symbol", "segment"]).select(
+        "symbol", F.col("segment").cast("long").alias("segment"), F.col("channel").cast("long").alias("channel"),
+        F.col("exit_channel").cast("long").alias("exit_channel"), *rounded_metrics())
+
+
+@query
+def walk_forward_given(spark, sf_dir):
+    """Each window trades the set that a table gives it; hourly metrics."""
+    windows = segments.walk_forward_windows(layout.number_rows(fx.walk_bars(spark, sf_dir), ("symbol",))[0]).select("symbol", "segment").distinct()
+    given = windows.withColumn("channel", (15 + 5 * F.col("segment")).cast("int"))
+    shown, _, _ = validation.walk_forward(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout", given=given, timeframe="1h")
+    return shown.select("symbol", F.col("segment").cast("long").alias("segment"), *rounded_metrics())
+
+
+@query
+def regime_gates(spark, sf_dir):
+    """Gates of the adaptive strategy with a check of each regime's out-of-sample drawdown."""
+    _, curve = validation.run_split(fx.walk_bars(spark, sf_dir), ("symbol",), "regime_adaptive", carry=("is_trend",))
+    named = F.when(F.col("is_trend"), "trend").otherwise("range")
+    oos = curve.using(curve.df.filter("segment = 'oos'").withColumn("regime", named))
+    regimes = metrics.regime_drawdowns(oos, "regime").drop("segment", "param_id")
+    wide = validation.side_by_side(metrics.summarize(curve), ["symbol"])
+    report = validation.gates(wide, ["symbol"], validation.Criteria(max_drawdown=0.005, regime_tolerance=0.0), regimes)
+    check = lambda n: F.try_element_at("checks", F.lit(n)).alias(n)
+    deep = F.filter("reasons", lambda r: r.startswith("Regime"))
+    return report.select("symbol", check("regime_range"), check("regime_trend"), F.array_join(deep, "; ").alias("regimes_failed"), "passed")
+
+
 @query
 def portfolio_equity(spark, sf_dir):
     _, curve = validation.run_split(fx.walk_bars(spark, sf_dir), ("symbol",), "momentum_breakout")

@@ -52,12 +52,19 @@ def score(o: Objective) -> Column:
     return F.when((F.col("is_n_trades") >= o.min_trades) & finite, value).otherwise(F.lit(float("-inf")))
 
 
+def deals_for(bars: DataFrame, keys: tuple[str, ...], n_sets: int) -> int:
+    """Into how many partitions the sets of a key are dealt, so that few keys use all cores; 1 where keys abound."""
+    wanted = 2 * bars.sparkSession.sparkContext.defaultParallelism
+    known = bars.select(*keys).distinct().limit(wanted).count()  # reads on only until there are enough keys
+    return max(1, min(n_sets, -(-wanted // max(1, known))))
+
+
 def trials(bars: DataFrame, keys: tuple[str, ...], name: str, sets: list[dict], objective: Objective = Objective(),
            timeframe: str = "1d", costs: Costs = Costs(), account: Account = Account(), step_seconds: int = 86400,
            block: int = BLOCK) -> DataFrame:
     """One row per (key, param_id): is_ and oos_ metrics and the score."""
     _, curve = validation.run_split(bars, keys, name, sets, objective.in_fraction, objective.warmup, costs, account,
-                                    step_seconds, block)
+                                    step_seconds, block, deals_for(bars, keys, len(sets)))
     per_segment = metrics.summarize(curve, timeframe)
     wide = validation.side_by_side(per_segment, [*keys, "param_id"])
     return wide.withColumn("score", score(objective))

@@ -123,7 +123,7 @@ def signals_cte(strategy: str, bars: str = WALK_BARS_SQL, p: dict | None = None)
         return f"{sm}, sg AS MATERIALIZED ({body})"
     if strategy == "regime_adaptive":
         sm = smoothed({k: ALL_SMOOTH[k] for k in ("f50", "s200", "atr_", "ag", "al", "sp", "sn")}, wilder("14"), bars)
-        body = f"""SELECT * EXCLUDE (up, pup, st, mst, me, mx, trend, ptrend, calm),
+        body = f"""SELECT * EXCLUDE (up, pup, st, mst, me, mx, ptrend, calm),
           (CASE WHEN trend THEN up AND NOT pup ELSE me END) AND calm AS entry,
           (CASE WHEN trend THEN NOT up AND pup ELSE mx END) OR trend <> coalesce(ptrend, trend) AS exit,
           CASE WHEN trend THEN CASE WHEN up THEN st END ELSE mst END AS stop, {none} AS tp, true AS trail
@@ -275,10 +275,11 @@ def with_sets(bars: str, sets: list[dict]) -> str:
       FROM ({bars}), (VALUES {rows}) p(pid, ch, xc, ap, am, vm)"""
 
 
-def momentum_sets_cte(bars: str, sets: list[dict]) -> str:
+def momentum_sets_cte(bars: str, sets: list[dict], own: bool = False) -> str:
+    """Signals with the parameters of ``sets``, or (``own``) with columns ch, xc, ap, am, vm of the bars; ``sets`` then lists their lengths."""
     top = " ".join(f"WHEN {n} THEN {frame('max', 'high', n, 1)}" for n in sorted({p.get('channel', 20) for p in sets}))
     low = " ".join(f"WHEN {n} THEN {frame('min', 'low', n, 1)}" for n in sorted({p.get('exit_channel', 10) for p in sets}))
-    return f"""{smoothed({'atr_': ('b.tr', '1.0 / b.ap')}, bars=with_sets(bars, sets))},
+    return f"""{smoothed({'atr_': ('b.tr', '1.0 / b.ap')}, bars=bars if own else with_sets(bars, sets))},
       sg AS MATERIALIZED (SELECT b.symbol, b.i, b.n, b.ts, b.open, b.high, b.low, b.close,
         coalesce(b.close > CASE b.ch {top} END AND b.volume > b.vm * {frame('avg', 'volume', 20)}, false) AS entry,
         coalesce(b.close < CASE b.xc {low} END, false) AS exit,

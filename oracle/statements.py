@@ -335,6 +335,33 @@ ORACLE["walk_forward_fitted"] = f"""WITH {_fit('tst', sql.window_bars())}, {_fit
   pk AS (SELECT symbol, segment, param_id FROM (SELECT *, row_number() OVER (PARTITION BY symbol, segment ORDER BY round(sharpe, 9) DESC, param_id) AS rn FROM trn) WHERE rn = 1)
   SELECT symbol, segment, param_id, {sql.ROUNDED} FROM tst JOIN pk USING (symbol, segment, param_id)"""
 
+_LENGTHS = [{"channel": c, "exit_channel": x} for c in range(10, 50) for x in range(5, 17) if c == 10 or x == 5]
+_TEST_BARS = f"""SELECT t.*, 10 + p.rising % 40 AS ch, 5 + p.rising % 12 AS xc, 14 AS ap, cast(3.0 AS double) AS am, cast(1.2 AS double) AS vm
+  FROM ({sql.window_bars()}) t JOIN (SELECT symbol, cast(sum(CASE WHEN close > open THEN 1 ELSE 0 END) AS bigint) AS rising
+                                     FROM ({sql.window_bars(train=True)}) GROUP BY 1) p USING (symbol)"""
+ORACLE["walk_forward_fit_function"] = f"""WITH RECURSIVE {sql.momentum_sets_cte(_TEST_BARS, _LENGTHS, own=True)}, {sql.trades_cte()}, {sql.EQ},
+  mt AS ({sql.metrics_of('eq')}), ln AS (SELECT DISTINCT symbol, ch, xc FROM ({_TEST_BARS}))
+  SELECT {WKEY}, ch AS channel, xc AS exit_channel, {sql.ROUNDED} FROM mt JOIN ln USING (symbol)"""
+_GIVEN_BARS = f"""SELECT *, 15 + 5 * cast(split_part(symbol, '|', 2) AS bigint) AS ch, 10 AS xc, 14 AS ap, cast(3.0 AS double) AS am,
+  cast(1.2 AS double) AS vm FROM ({sql.window_bars()})"""
+ORACLE["walk_forward_given"] = f"""WITH RECURSIVE {sql.momentum_sets_cte(_GIVEN_BARS, [{"channel": 15 + 5 * w} for w in range(5)], own=True)},
+  {sql.trades_cte()}, {sql.EQ}, mt AS ({sql.metrics_of('eq', ann='8760.0')}) SELECT {WKEY}, {sql.ROUNDED} FROM mt"""
+
+ORACLE["regime_gates"] = f"""WITH RECURSIVE {sql.signals_cte('regime_adaptive', sql.split_bars())}, {sql.trades_cte()}, {sql.EQ},
+  mt AS ({sql.metrics_of('eq')}),
+  wd AS (SELECT sy AS symbol, {WIDE} FROM (SELECT *, split_part(symbol, '|', 1) AS sy, split_part(symbol, '|', 2) AS seg FROM mt) GROUP BY 1),
+  st AS (SELECT *, sum(moved) OVER (PARTITION BY symbol ORDER BY bar_no) AS stretch
+         FROM (SELECT eq.symbol, bar_no, equity, sg.trend, CASE WHEN sg.trend IS DISTINCT FROM lag(sg.trend) OVER (PARTITION BY eq.symbol ORDER BY bar_no) THEN 1 ELSE 0 END AS moved
+               FROM eq JOIN sg ON sg.symbol = eq.symbol AND sg.i = bar_no WHERE split_part(eq.symbol, '|', 2) = 'oos')),
+  dd AS (SELECT split_part(symbol, '|', 1) AS symbol, CASE WHEN trend THEN 'trend' ELSE 'range' END AS regime, min(d) AS d
+         FROM (SELECT *, equity / max(equity) OVER (PARTITION BY symbol, stretch ORDER BY bar_no) - 1 AS d FROM st) GROUP BY 1, 2),
+  rg AS (SELECT symbol, bool_and(d >= -0.005) FILTER (regime = 'range') AS regime_range, bool_and(d >= -0.005) FILTER (regime = 'trend') AS regime_trend,
+                coalesce(string_agg(CASE WHEN d < -0.005 THEN printf('Regime ''%s'' drawdown %.2f%% too deep', regime, d * 100) END, '; ' ORDER BY regime), '') AS regimes_failed
+         FROM dd GROUP BY 1)
+  SELECT symbol, regime_range, regime_trend, regimes_failed, coalesce(regimes_failed = '' AND oos_total_return > 0 AND oos_sharpe >= 1.2 AND oos_profit_factor >= 1.3
+         AND abs(least(is_max_drawdown, oos_max_drawdown)) <= 0.005 AND oos_n_trades >= 30 AND (is_sharpe <= 0 OR oos_sharpe / is_sharpe >= 0.5), false) AS passed
+  FROM wd JOIN rg USING (symbol)"""
+
 _PF = f"""{SPLIT},
   sp AS (SELECT *, split_part(symbol, '|', 2) AS segment FROM eq),
   mb AS (SELECT segment, count(DISTINCT symbol) AS m FROM sp GROUP BY 1),

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.operators import indicators as ind
 from barloom.operators import folds, layout, ledger, metrics, quality, risk, signals, trades
 from barloom.plans import catalog, resample, segments, sweep, validation
 from barloom.sources import fixtures as fx
@@ -49,6 +50,70 @@ def test_shared_and_own_smoothing_agree(bars, monkeypatch):
     same(shared, run(), ["symbol", "param_id", "ts"])
 
 
+def test_two_hundred_lengths_in_one_plan(spark, walk):
+    """Lengths as rows of a table: one frame a statistic, whatever their number; against pandas, over blocks too."""
+    lengths = list(range(1, 201))
+    frame = spark.createDataFrame(walk[walk.symbol != "BB"])
+    plans = []
+    for block, n in ((layout.BLOCK, 200), (layout.BLOCK, 2), (512, 200)):
+        s = layout.lay_out(frame, ("symbol",), halo=201, block=block)
+        table = spark.createDataFrame([(k,) for k in lengths[-n:]], "n int").withColumn("one", F.lit(1))
+        joined = s.df.withColumn("one", F.lit(1)).join(F.broadcast(table), "one").drop("one")
+        s = ind.rolling_by(s.using(joined, "n"), {
+            "top": (ind.Rolling("max", "high", prior=True), F.col("n")), "low_": (ind.Rolling("min", "low"), F.col("n")),
+            "mid": (ind.Rolling("avg", "close"), F.col("n")), "spread": (ind.Rolling("std", "close"), F.col("n"))})
+        plans.append(s.df._jdf.queryExecution().optimizedPlan().toString().count("windowspecdefinition"))
+        if n < 200:
+            continue
+        got = s.core_rows().df.filter("n IN (1, 2, 7, 64, 65, 128, 199, 200)").toPandas()
+        for (symbol, k), g in got.groupby(["symbol", "n"]):
+            g, w = g.sort_values("bar_no").reset_index(drop=True), walk[walk.symbol == symbol].reset_index(drop=True)
+            assert len(g) == len(w)
+            for name, want in (("top", w.high.shift(1).rolling(k).max()), ("low_", w.low.rolling(k).min()),
+                               ("mid", w.close.rolling(k).mean()), ("spread", w.close.rolling(k).std(ddof=0))):
+                np.testing.assert_allclose(g[name].astype(float), want, rtol=1e-9, atol=1e-7, err_msg=f"{name} {k}")
+    assert plans[0] == plans[1]
+
+
+@pytest.mark.parametrize("name,sets", [
+    ("momentum_breakout", [{"channel": 15, "atr_period": 10, "atr_mult": 2.0}, {"channel": 20, "atr_period": 21}, {"vol_mult": 1.0}]),
+    ("regime_adaptive", [{"trend_ema_fast": 25}, {"mr_rsi_buy": 34.0, "adx_period": 10, "bb_period": 15}])])
+def test_sets_from_a_table_equal_sets_from_a_list(spark, bars, name, sets):
+    strategy = signals.get_strategy(name)
+    columns = sorted({k for p in sets for k in p})
+    kinds = ", ".join(f"{c} {'double' if isinstance(strategy.defaults[c], float) else 'int'}" for c in columns)
+    table = spark.createDataFrame([(s, i, *(p.get(c) for c in columns)) for s in ("S1", "S2") for i, p in enumerate(sets)],
+                                  f"symbol string, param_id int, {kinds}")
+    shown = ["ts", "entry", "exit", "stop"]
+    for block in (layout.BLOCK, SMALL):
+        laid = layout.lay_out(bars, ("symbol",), halo=30, block=block)
+        listed = signals.generate(laid, name, sets)
+        same(signals.generate_for(laid, name, table, ("symbol",)).select(*shown), listed.select(*shown), ["symbol", "param_id", "ts"], rtol=1e-7)
+    dealt = signals.generate(layout.lay_out(bars, ("symbol",), halo=30), name, sets, deals=2).select(*shown).drop("deal")
+    same(dealt, listed.select(*shown), ["symbol", "param_id", "ts"], rtol=1e-7)
+
+
+def test_deals_follow_the_number_of_keys(bars):
+    cores = bars.sparkSession.sparkContext.defaultParallelism
+    assert sweep.deals_for(bars, ("symbol",), 60) == cores and sweep.deals_for(bars, ("symbol",), 3) == min(3, cores)
+    assert sweep.deals_for(bars, ("symbol", "ts"), 60) == 1
+
+
+def test_regime_stretches_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(4)
+    n = 900
+    pdf = pd.DataFrame({"symbol": "X", "ts": pd.date_range("2020-01-01", periods=n), "equity": 100 + np.cumsum(rng.normal(0, 1, n)),
+                        "regime": np.repeat(rng.choice(["a", "b"], 30), 30)})
+    got = []
+    for block in (layout.BLOCK, 64):
+        got.append(metrics.regime_drawdowns(layout.lay_out(spark.createDataFrame(pdf), ("symbol",), block=block), "regime"))
+    same(*got, ["symbol", "regime"])
+    stretch = (pdf.regime != pdf.regime.shift()).cumsum()
+    pdf["fall"] = pdf.equity / pdf.groupby(stretch).equity.cummax() - 1
+    want = pdf.groupby("regime").fall.min().to_dict()
+    assert {r.regime: round(r.max_drawdown, 9) for r in got[0].collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
 def test_walk_forward_and_portfolio_do_not_depend_on_blocks(bars):
     stitched, pooled = [], []
     for block in (layout.BLOCK, SMALL):
