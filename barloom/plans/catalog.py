@@ -19,6 +19,7 @@ from barloom.schemas import PRICE_COLUMNS
 from barloom.session import tune
 from barloom.sources import bars as bar_io
 from barloom.sources import fixtures as fx
+from barloom.sources.store import BarStore, upsert_stream
 from barloom.streaming import bars as stream_ops
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,9 +52,31 @@ def bar_file_scan(spark, sf_dir):
                                         F.max("ts").alias("last_ts"), F.round(F.max("value"), 6).alias("top"))
 
 
+def _store(spark, schema) -> BarStore:
+    return BarStore(spark, f"{_folder(spark)}/store", schema, buckets=8, period="yyyy")  # daily bars
+
+
 @query
 def range_scan(spark, sf_dir):
-    return bar_io.range_scan(fx.walk_bars(spark, sf_dir), symbol="S7", start="1996-01-01", end="1999-01-01")
+    """Bars of one key and range from a bar table kept by bucket of the symbol and year."""
+    bars = fx.walk_bars(spark, sf_dir)
+    store = _store(spark, bars.schema)
+    store.upsert(bars, "load", 0)
+    return store.read("1996-01-01", "1999-01-01", symbol="S7").drop("symbol")
+
+
+@query
+def stream_upsert(spark, sf_dir):
+    """The old bars, then the new ones in three batches of a stream, one of them given twice; the table they leave."""
+    old, new = _page(spark, sf_dir)
+    store, folder = _store(spark, old.schema), _folder(spark)
+    store.upsert(old, "load", 0)
+    for part in range(3):
+        new.filter(F.pmod(F.year("ts"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/input")
+    stream = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/input")
+    upsert_stream(stream, store, f"{folder}/checkpoint").awaitTermination()
+    store.upsert(old, "load", 0)  # taken in before
+    return store.read()
 
 
 def _page(spark, sf_dir):

@@ -22,6 +22,8 @@ ORACLE["upsert_bars"] = f"""WITH b AS MATERIALIZED ({W}),
   SELECT symbol, ts, open, high, low, close, volume FROM n
   UNION ALL SELECT o.* FROM o ANTI JOIN n ON n.symbol = o.symbol AND n.ts = o.ts"""
 
+ORACLE["stream_upsert"] = ORACLE["upsert_bars"]
+
 ORACLE["candle_objects"] = f"""SELECT symbol, ts, open, high, low,
     round(close + CASE WHEN day(ts) % 10 = 0 THEN 1 ELSE 0 END, 6) AS close, volume
   FROM ({W}) WHERE ts < TIMESTAMP '2001-06-01'"""

@@ -7,6 +7,7 @@ from barloom.functions import scalars, venue
 from barloom.schemas import TABLES
 from barloom.sources import bars as io
 from barloom.sources import fixtures as fx
+from barloom.sources.store import BarStore
 
 
 def test_csv_and_parquet_roundtrip(spark, tmp_path):
@@ -47,6 +48,36 @@ def test_upsert_leaves_one_row_of_a_key(spark, sf_dir, tmp_path, first):
     assert [r.close for r in io.read_table(spark, path, one).collect()] == [0.5]
 
 
+def test_store_takes_each_batch_once_and_shows_whole_commits(spark, sf_dir, tmp_path, monkeypatch):
+    bars = fx.walk_bars(spark, sf_dir).filter("symbol IN ('S1', 'S2', 'S3')").persist()
+    store = BarStore(spark, str(tmp_path / "store"), bars.schema, buckets=2)
+    assert store.read().count() == 0
+    assert store.upsert(bars, "load", 0) and not store.upsert(bars.withColumn("close", F.lit(1.0)), "load", 0)
+    n = bars.count()
+    assert store.read().exceptAll(bars).count() == 0 and store.read().count() == n
+    changed = bars.filter("symbol = 'S1' AND ts >= '1996-03-01' AND ts < '1996-04-01'").withColumn("close", F.lit(7.0)).persist()
+    twice = changed.unionByName(changed.withColumn("close", F.lit(3.0)))
+    # A run that is stopped before its commit leaves the table as it was.
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError):
+            store.upsert(twice, "feed", 0)
+    assert store.read().exceptAll(bars).count() == 0 and store.read().count() == n
+    # A commit file that was not written to its end is passed over.
+    (tmp_path / "store" / "commits" / "000000000002").write_text('{"poin')
+    assert store.read().count() == n
+    assert store.upsert(twice, "feed", 0)
+    assert store.read().count() == n and store.read().filter("close = 7.0").count() == changed.count()
+    assert not store.upsert(changed.withColumn("close", F.lit(2.0)), "feed", 0)
+    late = bars.limit(1).withColumn("ts", F.lit("2031-05-05").cast(bars.schema["ts"].dataType))
+    assert store.upsert(late, "feed", 5) and store.read().count() == n + 1
+    scan = store.read("1996-03-01", "1996-04-01", symbol="S1")
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    partition, pushed = plan.split("PartitionFilters: [", 1)[1].split("PushedFilters: [", 1)
+    assert "bucket" in partition and "period" in partition and "EqualTo(symbol,S1)" in pushed and "GreaterThanOrEqual(ts" in pushed
+    assert scan.count() == changed.count() and scan.filter("close <> 7.0").count() == 0
+
+
 def test_tables_and_exports(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS barloom_t LOCATION '{tmp_path}/db'")
     assert io.create_tables(spark, "barloom_t") == list(TABLES)
