@@ -26,14 +26,20 @@ def sha256(content: Column) -> Column:
     return F.unhex(F.sha2(content, 256))
 
 
+#: Megabytes that the state stores of an executor may hold; the rest lies on disk.
+STORE_MB = "128"
+
+
 def fold(feed: DataFrame, files_per_batch: int) -> DataFrame:
     """Run the stream over ``feed`` and return its state: ``digest, keep, group_size``."""
     spark = feed.sparkSession
     path, state = fresh_path(spark, "dedup-feed"), fresh_path(spark, "dedup-state")
     feed.write.parquet(path)
-    # Many small stores: without files allocated ahead.
+    # Many small stores: without files allocated ahead, and with one bound on the memory of all stores of an executor.
     with settings(spark, spark__sql__streaming__stateStore__providerClass=STATE_STORE,
-                  spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false"):
+                  spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
+                  spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
+                  spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB=STORE_MB):
         rows = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
         kept = rows.groupBy("digest").agg(F.min("row").alias("keep"), F.count("*").alias("group_size"))
         query = (kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", state)

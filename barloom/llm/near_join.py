@@ -26,7 +26,7 @@ from barloom.llm.shared import components, key_bits, located, materialised, mayb
 #: The most hash functions a signature may have, and nodes in a block.
 MAX_HASHES, BLOCK = 256, 128
 #: Distinct words a task remembers the hashes of.
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
 #: Columns of the incidence matrix held at once.
 MATRIX_COLUMNS = 4096
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

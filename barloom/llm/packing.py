@@ -32,8 +32,8 @@ CAPACITY = 4096
 ROUNDS = 250
 #: Shares of the fractional solution that are tried in rounding.
 SHARES = (1.0, 0.75, 0.5, 0.25, 0.1)
-#: Strings a Python worker remembers the ids of (some 150 bytes each).
-CACHE = 1_000_000
+#: Strings a Python worker remembers the ids of (some 150 bytes each, so 30 MB).
+CACHE = 200_000
 #: Rows of one length ranked in one task at most (about).
 SHARD_ROWS = 200_000
 
