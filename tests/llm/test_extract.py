@@ -3,6 +3,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -56,6 +57,51 @@ def test_page_without_telling_elements(spark, sf_dir):
     assert "Zu" not in inner and "©" not in inner
 
 
+@pytest.fixture(scope="module")
+def weights(spark, sf_dir):
+    return extract.train([r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()])
+
+
+WORDS = "A long enough sentence, with some words of the article in it."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><nav><a href=/>Home</a></nav><div class='site-content has-sidebar'><p>{WORDS}<p>{WORDS}</div><footer>Imprint</footer>", f"{WORDS} {WORDS}"),
+    (f"<body><nav><a href=/>Home</a></nav><section class='share-wrapper'><article><p>{WORDS}<p>{WORDS}</article></section>", f"{WORDS} {WORDS}"),
+    (f"<body><nav><a href=/>Home</a></nav><section class='share-wrapper'><p>{WORDS}<p>{WORDS}<p>{WORDS}</section>", f"{WORDS} {WORDS} {WORDS}"),
+    (f"<article><p>{WORDS}</p><svg><path d='M0'><p>{WORDS}</p></article>", f"{WORDS} {WORDS}"),
+    ("<article><p>Let <math><mi>x</mi></math> be a number, then.</p></article>", "Let x be a number, then."),
+    ("<article><p>Press <button>Go</button> to start, please.</p><button>Share</button></article>", "Press Go to start, please."),
+    (f"<article><p>{WORDS}</p></article><section id=comments><article><p>{WORDS}</p></article></section>", WORDS),
+    (f"<article><p>{WORDS}</p><div class='ad'>{WORDS}</div><p>{WORDS}</p></article>", f"{WORDS} {WORDS}"),
+    (f'<article><p title="a > b">{WORDS}</p></article>', WORDS),
+])
+def test_forms_of_pages(weights, page, want):
+    assert extract.main_text(page, weights) == want
+
+
+def test_no_block_is_settled_by_its_own_cost_inside_a_container():
+    weights = np.full(12, 100.0)  # however sure the classifier is
+    blocks = extract.blocks_of("<article>" + "".join(f"<p>{WORDS}" for _ in range(5)) + "</article>")
+    gain, edges = extract.cut_of(blocks, weights)
+    assert all(abs(gain[i]) < sum(w for a, b, w in edges if i in (a, b)) for i in range(1, 4))
+    alone = gain.copy()
+    alone[2] = -2.9
+    assert extract.minimum_cut(alone, edges).all()
+    assert extract.minimum_cut(alone, []).tolist() == [True, True, False, True, True]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a x>", "<a '", "<a \"<b '", "<svg>", "<script>", "<div>", "<!--", "<!", "<p><a>", "<head>", "<h1>", "</p>", "<td><li>",
+                                   "<div class='ad'>x", "<a><div></div>", "<p>some words. ", "<li><a>x</a>", "<b", "<math><p>x"])
+def test_a_megabyte_of_anything_takes_linear_time(piece):
+    took = []
+    for size in (1 << 18, 1 << 20):
+        begin = time.process_time()
+        extract.main_text(piece * (size // len(piece)), np.zeros(12))
+        took.append(time.process_time() - begin)
+    assert took[1] < 10 * max(took[0], 0.2)  # 16 times, were it quadratic
+
+
 @pytest.mark.parametrize("source", [None, "", "   ", "<", "<p", "a < b", "<p>x", "</p></div>x", "<script>x", "<!--", "<a href='>x", "&#x110000;&bogus;",
                                     "<div>" * 3000 + "x", "<p>" + "word " * 100_000, "\x00<p>\x00</p>"])
 def test_odd_sources_do_not_fail(source):
