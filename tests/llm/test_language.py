@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy, use of each kind of evidence, defined results for odd rows."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -59,3 +61,43 @@ def test_filter_and_empty_tables(spark, sf_dir):
     assert language.keep_identified(docs.limit(0)).collect() == []
     empty = spark.createDataFrame([], "key long, text string, declared string, host string")
     assert language.identify(empty).collect() == []
+
+
+def test_model_against_counting_by_hand():
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(list("abc d\u00e9"), rng.integers(0, 60))) for _ in range(30)] + ["", None]
+    owner = [i % 3 for i in range(len(texts))]
+    seen = [language.codes([t])[0] for t in texts]
+    counts = np.zeros((3, language.CODES))
+    for i, c in zip(owner, seen):
+        np.add.at(counts[i], c[c != language.BLANK], 1)
+    dense = np.log((counts + language.PSEUDO) / (counts.sum(1, keepdims=True) + language.PSEUDO * language.CODES))
+    at, code = np.nonzero(counts)
+    model = language.model_of(["a", "b", "c"], at, code, counts[at, code])
+    for c, (codes, n, _) in zip(seen, language.histograms(texts)):
+        assert np.allclose(model.logs(codes, n), dense[:, c[c != language.BLANK]].sum(1), rtol=1e-5)
+
+
+def test_every_declared_language_is_modelled(spark):
+    """Many languages of few rows, beside one that has most rows."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(300):
+        syllables = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(12)]
+        tag = "".join(chr(97 + (k // 17 ** j) % 17) for j in range(3))
+        for _ in range(400 if k == 0 else int(rng.integers(1, 5))):
+            text = " ".join("".join(rng.choice(syllables, 2)) for _ in range(60))
+            rows.append((len(rows), text, tag, f"h{k % 40}.com"))
+    got = language.identify(spark.createDataFrame(rows, "key long, text string, declared string, host string")).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert len(got) == len(rows)
+    assert [r for r in got if r.accepted and r.language != want[r.key]] == []
+    assert np.mean([r.accepted for r in got]) > 0.95
+
+
+def test_long_unclosed_markup(spark):
+    pages = ["<html " * 60_000, "<a " * 120_000, "<script>" * 40_000, "<!--" * 80_000, "</script " * 40_000]
+    frame = spark.createDataFrame([(i, "https://x.de/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    begin = time.perf_counter()
+    got = frame.select(*language.page_evidence(F.col("page_id"))).collect()
+    assert time.perf_counter() - begin < 20 and all(r.declared is None for r in got)
