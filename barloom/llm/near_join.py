@@ -241,7 +241,7 @@ def _joined(rows, n, threshold, recall, id_col, text_col, block=BLOCK) -> DataFr
     source = rows.select("at", F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{text_col}`").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     place = "at struct<file:string,row:bigint>"
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="128"):
         signed = written(source.mapInArrow(
             _sign(n, bands, per_band), f"{place}, doc_id {id_type}, node binary, n long, bands array<long>"), "near-signed")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "at")).alias("first")

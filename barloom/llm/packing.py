@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -262,14 +261,16 @@ def _rounded(histogram: np.ndarray, capacity: int, total: dict[bytes, float], sh
 
 
 def _place(shared):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         key = table[:, 0] * (1 << 50) + table[:, 1]
-        for frame in frames:
-            length, rank = frame["length"].to_numpy(), frame.pop("rank").to_numpy()
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             _, first, repeats, sequence, offset = table[np.searchsorted(key, length * (1 << 50) + rank, "right") - 1].T
-            yield frame.assign(sequence_id=sequence + (rank - first) // repeats,
-                               offset=offset + (rank - first) % repeats * length)
+            keep = [n for n in batch.schema.names if n != "rank"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in keep), pa.array(sequence + (rank - first) // repeats),
+                 pa.array(offset + (rank - first) % repeats * length)], [*keep, "sequence_id", "offset"])
     return run
 
 
@@ -284,7 +285,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="250"):
         cut = written(pieces(docs, tokenizer_path, id_col, text_col, end_id, capacity, with_ids), "packing-pieces")
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in cut.groupBy("length").count().collect():  # a row per length
@@ -300,4 +301,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         *cut.columns, (F.col("before") + F.col("within") - 1).alias("rank"))
     places = spark.sparkContext.broadcast(plan(histogram, capacity, rounds).table)  # at most some 90 rows per group of sequences
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(_place(places), schema)
+    return ranked.mapInArrow(_place(places), schema)

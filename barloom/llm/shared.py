@@ -116,6 +116,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys the members of a label are dealt to.
+SALTS = 16
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Connected components: ``(node, label)``, the label being the smallest node of the component.
 
@@ -123,7 +127,9 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     around it and then the label of that label (pointer jumping), so the number of
     rounds grows with the logarithm of the longest chain. Each round is
     checkpointed; only a count of changes reaches the driver. Joins are on node
-    keys; the neighbours of a hot node are reduced before the shuffle.
+    keys; the neighbours of a hot node are reduced before the shuffle. The one join
+    on labels takes only labels that have moved, and deals the members of a label
+    to ``SALTS`` keys, as one label may have most nodes.
     """
     both = materialised(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
                         .where("a is not null and b is not null and a <> b").distinct())
@@ -136,8 +142,11 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         heard = (labels.join(around, "node").groupBy(F.col("label").alias("node")).agg(F.min("near").alias("via")))
         step = (labels.join(around, "node").join(heard, "node", "left")
                 .select("node", F.least("label", "near", "via").alias("label"), F.col("label").alias("old")))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = materialised(step.join(jump, "label", "left")
+        step = materialised(step)
+        moved = (step.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("far"))
+                 .join(step.select("label").distinct(), "label", "left_semi")
+                 .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+        new = materialised(step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(moved, ["label", "salt"], "left")
                            .select("node", F.least("label", "far").alias("label"), "old"))
         labels = new.select("node", "label")
         if new.where("label <> old").limit(1).count() == 0:

@@ -98,3 +98,21 @@ def test_signatures_estimate_the_similarity():
         pool = rng.integers(0, 1 << 63, same + 2 * own, dtype=np.uint64)
         a, b = signer(pool[:same + own]), signer(np.concatenate([pool[:same], pool[same + own:]]))
         assert abs((a == b).mean() - share) < 0.11
+
+
+def test_components_of_chains_and_stars(spark):
+    from barloom.llm.shared import components
+
+    rng = random.Random(2)
+    edges = [(f"{i:05d}", f"{i + 1:05d}") for i in range(300)] + [("10000", f"{10001 + i}") for i in range(3000)]
+    edges += [(f"2{rng.randrange(400):04d}", f"2{rng.randrange(400):04d}") for _ in range(250)] + [("30000", "30000"), (None, "00001")]
+    label = {x: x for e in edges for x in e if x and e[0] and e[0] != e[1]}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a and a != b and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    got = components(spark.createDataFrame(edges, "a string, b string")).collect()
+    assert {r.node: r.label for r in got} == label and len(got) == len(label)
