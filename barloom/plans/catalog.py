@@ -768,6 +768,7 @@ def stream_positions(spark, sf_dir):
 def stream_risk(spark, sf_dir):
     folder = _folder(spark)
     snaps = fx.equity_snapshots(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).select("account", "ts", "equity")
-    out = stream_ops.run_available(stream_ops.risk_monitor(_as_stream(snaps, folder), 210_000.0, 0.17), folder)
+    out = stream_ops.run_available(stream_ops.risk_monitor(_as_stream(snaps, folder), 210_000.0,
+                                                        risk.Limits(kill_drawdown=0.17)), folder)
     return out.select("account", F.col("ts").cast("timestamp_ntz").alias("ts"),
                       *rounded(drawdown="drawdown", daily_pnl="daily_pnl", weekly_pnl="weekly_pnl"), "kill_switch")
