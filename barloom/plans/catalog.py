@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +15,7 @@ from barloom.operators import folds, layout, ledger, metrics, quality, risk, sig
 from barloom.operators.layout import Series
 from barloom.plans import resample, segments, sweep, validation
 from barloom.schemas import PRICE_COLUMNS
-from barloom.session import tune
+from barloom.session import shared_folder, tune
 from barloom.sources import bars as bar_io
 from barloom.sources import fixtures as fx
 from barloom.sources.store import BarStore, upsert_stream
@@ -716,9 +715,8 @@ def close_based_trades(spark, sf_dir):
 # --- streaming ----------------------------------------------------------------------------
 
 def _folder(spark) -> str:
-    """A new folder for one streaming run, in the shared folder the session names."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="barloom-stream-")
+    """A new folder for one streaming run, in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _as_stream(df: DataFrame, folder: str) -> DataFrame:

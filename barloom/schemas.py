@@ -13,7 +13,7 @@ EVENT_CATEGORIES = ("signal", "order", "fill", "risk", "strategy", "error")
 
 INITIAL_CASH = 10_000.0
 
-# DDL strings: column list, then partition columns.
+# Columns of the tables, as DDL, then partition columns.
 TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "instruments": (
         "exchange STRING, symbol STRING, base STRING, quote STRING, active BOOLEAN, created_at TIMESTAMP",
